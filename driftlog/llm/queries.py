@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .imatch import edited_fingerprints
 from .html_text import main_text
 from .mixture import mix
+from .pii import KINDS, pii_spans
 from .secrets import find_secrets
 from .sentencepiece_codec import encode_and_decode
 from .simhash import simhash_components
@@ -104,3 +106,15 @@ def op7_secrets(spark, sf_dir):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["base"])
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_imatch(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_sanitise(spark, sf_dir):
+    rows = pii_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
