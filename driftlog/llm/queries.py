@@ -14,6 +14,7 @@ from .secrets import find_secrets
 from .sentencepiece_codec import encode_and_decode
 from .simhash import simhash_components
 from .token_files import token_files
+from .toxicity import toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -118,3 +119,8 @@ def op2_sanitise(spark, sf_dir):
     rows = pii_spans(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", *map(count, KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
