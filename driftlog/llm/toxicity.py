@@ -27,10 +27,10 @@ SAMPLE = 30_000
 #: The most lexicon entries: the model's size.
 ENTRIES = 2_000
 #: The least shrunk log-odds of an entry, and the least toxic documents and different contexts that it takes.
-WEIGHT, DOCS, CONTEXTS = 2.5, 3, 3
+WEIGHT, DOCS, CONTEXTS = 2.0, 3, 3
 #: Pseudo-count of harmless documents that hold any term.
 PRIOR = 2.0
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 #: The least length of a term that may be misspelt, and what a misspelling's weight is multiplied by.
 FUZZY, MISSPELT = 5, 0.7
 WINDOW = 80
