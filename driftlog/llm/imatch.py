@@ -41,7 +41,7 @@ def let(value: Column, use) -> Column:
 
 def _levels(root: Column) -> Column:
     """Signatures of the sorted hashes `root` and of its parts. Each part is cut out of the part it lies in."""
-    sign = lambda a: F.when(F.size(a) > 0, F.xxhash64(a))
+    sign = lambda a: F.when(F.size(a) > 0, F.shiftright(F.xxhash64(a), 32).cast("int"))
     part = lambda a, shift, value: F.filter(a, lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(3) == value)
 
     def below(frame: Column, depth: int) -> Column:
@@ -114,16 +114,16 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     scratch = Scratch(docs.sparkSession, "imatch")
     known = lexicon(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("n", F.length("text"))
-    links = successors(rows.groupBy("doc_id").agg(F.max("n").alias("n")), scratch)
+    links = successors(rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")), scratch)
+    # Both branches below read the same two columns of this join's left side, so its shuffle of the texts is made once.
     linked = rows.join(links.withColumnRenamed("doc_id", "l_id"), F.col("doc_id").eqNullSafe(F.col("l_id"))).drop("l_id")
     gifts = linked.select("before_id", F.expr("substring(text, 1, CAST(before_n div 3 AS INT))").alias("gift"))
     if links.count() < docs.count():  # ids repeat
         gifts = gifts.groupBy("before_id").agg(F.min("gift").alias("gift"))
-    cut = F.floor(F.col("n") / 3).cast("int")
+    cut = F.floor(F.length("text") / 3).cast("int")
     edited = linked.join(gifts.withColumnRenamed("before_id", "g_id"), F.col("doc_id").eqNullSafe(F.col("g_id")))
-    edited = edited.select("doc_id", "next_id", "n", "text", F.concat(F.substring("text", F.lit(1), F.col("n") - cut), F.substring("gift", F.lit(1), cut)).alias("edited"))
-    edited = edited.select("doc_id", "next_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    edited = edited.select("doc_id", "next_id", "text", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("gift", F.lit(1), cut)).alias("edited"))
+    edited = edited.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
     signed = with_signatures(edited, {"signs": "text", "edited_signs": "edited"}, known).drop("text", "edited")
     signed = scratch.save(signed, "signed")
     of_next = signed.groupBy(F.col("doc_id").alias("n_id")).agg(F.min("signs").alias("next_signs"))
