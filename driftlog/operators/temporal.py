@@ -43,9 +43,11 @@ def tumbling_count(rows: DataFrame, size: str, key="key", ts="ts", slide: str |
 
 def sessions(rows: DataFrame, gap_s: int, key="key", ts="ts") -> DataFrame:
     """Sessions with their first and last event's time; events exactly a gap apart share one."""
-    w = F.session_window(F.col(ts).cast("timestamp"), f"{gap_s} seconds")
-    out = rows.groupBy(key, w.alias("w")).agg(F.count("*").alias("n"))
-    return out.select(key, F.col("w.start").alias("session_start"), (F.col("w.end") - F.expr(f"INTERVAL {gap_s} SECONDS")).alias("session_end"), "n")
+    # Not session_window: a filter on its bounds would be pushed below the merging of sessions.
+    w = Window.partitionBy(key).orderBy(ts)
+    new = F.coalesce((_micros(ts) - F.lag(_micros(ts)).over(w) > gap_s * 1_000_000).cast("int"), F.lit(1))
+    rows = rows.select(key, F.col(ts), new.alias("new")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "session").agg(F.min(ts).cast("timestamp").alias("session_start"), F.max(ts).cast("timestamp").alias("session_end"), F.count("*").alias("n")).drop("session")
 
 
 def find_sessions(store: DataFrame, earliest_end, latest_start) -> DataFrame:
