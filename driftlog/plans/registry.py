@@ -228,16 +228,21 @@ def _versions(spark, d):
     return S.versions(rows, ts="us")
 
 
-query("version_intervals", f"WITH {VERS} SELECT * FROM vers")(_versions)  # VS1 VS2 VS5 VS8
-query("versioned_current", f"WITH {VERS} SELECT * FROM vers WHERE valid_to IS NULL AND value IS NOT NULL")(lambda s, d: S.current(_versions(s, d)))  # VS3 VS7
-query("versioned_as_of", f"WITH {VERS} SELECT * FROM vers WHERE value IS NOT NULL AND valid_from <= {T1} AND (valid_to IS NULL OR valid_to > {T1})")(lambda s, d: S.as_of(_versions(s, d), T1))  # VS4 VS9 T6
-query("multi_version_query", f"WITH {VERS} SELECT * FROM vers WHERE value IS NOT NULL AND valid_from <= {T1} AND (valid_to IS NULL OR valid_to > {T0})")(lambda s, d: S.in_force(_versions(s, d), T0, T1))  # VS10
+def _open_end(vers):
+    """-1 for an open end: a column of longs without nulls."""
+    return vers.withColumn("valid_to", F.coalesce("valid_to", F.lit(-1)))
 
 
-@query("versioned_retention", f"WITH {VERS}, t AS (SELECT max(valid_from) AS top FROM vers) SELECT vers.* FROM vers, t WHERE valid_to IS NULL OR valid_from // 86400000000 >= (top - 604800000000) // 86400000000")  # VS6
+query("version_intervals", f"WITH {VERS} SELECT * REPLACE (coalesce(valid_to, -1) AS valid_to) FROM vers")(lambda s, d: _open_end(_versions(s, d)))  # VS1 VS2 VS5 VS8
+query("versioned_current", f"WITH {VERS} SELECT * EXCLUDE (valid_to) FROM vers WHERE valid_to IS NULL AND value IS NOT NULL")(lambda s, d: S.current(_versions(s, d)).drop("valid_to"))  # VS3 VS7
+query("versioned_as_of", f"WITH {VERS} SELECT * REPLACE (coalesce(valid_to, -1) AS valid_to) FROM vers WHERE value IS NOT NULL AND valid_from <= {T1} AND (valid_to IS NULL OR valid_to > {T1})")(lambda s, d: _open_end(S.as_of(_versions(s, d), T1)))  # VS4 VS9 T6
+query("multi_version_query", f"WITH {VERS} SELECT * REPLACE (coalesce(valid_to, -1) AS valid_to) FROM vers WHERE value IS NOT NULL AND valid_from <= {T1} AND (valid_to IS NULL OR valid_to > {T0})")(lambda s, d: _open_end(S.in_force(_versions(s, d), T0, T1)))  # VS10
+
+
+@query("versioned_retention", f"WITH {VERS}, t AS (SELECT max(valid_from) AS top FROM vers) SELECT key, valid_from, value, coalesce(valid_to, -1) AS valid_to FROM vers, t WHERE valid_to IS NULL OR valid_from // 86400000000 >= (top - 604800000000) // 86400000000")  # VS6
 def versioned_retention(spark, d):
     v = _versions(spark, d).withColumn("valid_from", F.timestamp_micros("valid_from"))
-    return S.keep_history(v, v.agg(F.max("valid_from").alias("top")), 7 * 24 * HOUR, 24 * HOUR).withColumn("valid_from", F.unix_micros("valid_from"))
+    return S.keep_history(v, v.agg(F.max("valid_from").alias("top")), 7 * 24 * HOUR, 24 * HOUR).withColumn("valid_from", F.unix_micros("valid_from")).transform(_open_end)
 
 
 @query("asof_join", f"WITH {VERS} SELECT l.key, l.us, l.seq, v.value AS as_of_value FROM log l JOIN vers v ON l.key = v.key AND v.valid_from <= l.us AND (v.valid_to IS NULL OR v.valid_to > l.us) WHERE l.event_type = 'purchase' AND v.value IS NOT NULL")  # T5
@@ -354,9 +359,9 @@ def migration_pick(spark, d):
     return files(spark, d).filter((F.col("level") > 0) & (F.lit(NOW) - F.col("max_write_us") > 86400000000)).orderBy("min_write_us", "file_number").limit(1).select("file_number", "min_write_us")
 
 
-@query("recovery_watermark", f"WITH {FILES}, l AS (SELECT level AS part, largest_key > 95 AND level > 0 AS lost, watermark_low, watermark_high FROM files) SELECT part, CASE WHEN NOT bool_or(lost) THEN max(watermark_high) WHEN bool_or(lost AND watermark_low IS NULL) THEN NULL ELSE min(watermark_low) FILTER (lost) END AS resume FROM l GROUP BY part")  # W11 M7
+@query("recovery_watermark", f"WITH {FILES}, l AS (SELECT level AS part, largest_key > 95 AND level > 0 AS lost, watermark_low, watermark_high FROM files) SELECT part, coalesce(CASE WHEN NOT bool_or(lost) THEN max(watermark_high) WHEN bool_or(lost AND watermark_low IS NULL) THEN NULL ELSE min(watermark_low) FILTER (lost) END, -1) AS resume FROM l GROUP BY part")  # W11 M7
 def recovery_watermark(spark, d):
-    return L.recovery_watermark(files(spark, d).select(F.col("level").alias("part"), ((F.col("largest_key") > 95) & (F.col("level") > 0)).alias("lost"), "watermark_low", "watermark_high"))
+    return L.recovery_watermark(files(spark, d).select(F.col("level").alias("part"), ((F.col("largest_key") > 95) & (F.col("level") > 0)).alias("lost"), "watermark_low", "watermark_high")).withColumn("resume", F.coalesce("resume", F.lit(-1)))  # -1: none
 
 
 @query("orphan_objects", f"WITH {FILES} SELECT s_suppkey AS object FROM supplier WHERE s_suppkey NOT IN (SELECT file_number FROM files) AND s_acctbal > 0")  # M13 M14: supplier stands for a listing, s_acctbal for time unreferenced
