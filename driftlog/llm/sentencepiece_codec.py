@@ -9,6 +9,7 @@ chunks are encoded once a worker."""
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 
@@ -167,17 +168,20 @@ class Codec:
         return self.lib.decode(ids)
 
 
+@functools.lru_cache(maxsize=2)
+def worker_codec(model_file: str) -> Codec:
+    """The worker's codec: later tasks of the worker find the chunks that earlier ones encoded."""
+    return Codec(model_file)
+
+
 def encode_and_decode(docs: DataFrame, model_file: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, ids (array of int, the end id last), decoded (the text that decode(ids) gives).
 
     A null text counts as empty: its ids are the end id alone, its decoded text is empty. Rows that repeat and null ids
     are kept; an empty table gives an empty result. Other columns are ignored. model_file must be readable on every executor."""
-    made: list[Codec] = []
-
     def run(batches):
-        if not made:
-            made.append(Codec(model_file))
-        codec, end = made[0], np.array([made[0].end], "<i4")
+        codec = worker_codec(model_file)
+        end = np.array([codec.end], "<i4")
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

@@ -66,7 +66,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(n, np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")  # block, row, bit
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
 
 
 def _below(n: np.ndarray) -> np.ndarray:

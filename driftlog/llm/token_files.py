@@ -10,6 +10,7 @@ Layout: magic, then blocks, then one zstandard frame with the index, its length
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -158,15 +159,18 @@ class WordTokenizer:
         return ids, np.diff(total[ends])
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer: later tasks of the worker find the words that earlier ones encoded."""
+    return WordTokenizer(path)
+
+
 def write_token_shards(docs: DataFrame, tokenizer_file: str, end_id: int, scratch: Scratch, text_col: str = "text", id_col: str = "doc_id", bits: bool = False) -> DataFrame:
     """Tokenise, order by doc_id (null first, ties by text), write shards and give them as (part, shard, n_ids, payload)."""
-    made: list[WordTokenizer] = []
-
     def run(batches):
         from pyspark import TaskContext
 
-        if not made:
-            made.append(WordTokenizer(tokenizer_file))
+        words = tokenizer(tokenizer_file)
         part, shard = TaskContext.get().partitionId(), 0
         held, names, lengths, n = [], [], [], 0
 
@@ -176,7 +180,7 @@ def write_token_shards(docs: DataFrame, tokenizer_file: str, end_id: int, scratc
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 piece = b.slice(at, 2000)
-                ids, each = made[0].encode(piece.column(1).cast(pa.large_string()))
+                ids, each = words.encode(piece.column(1).cast(pa.large_string()))
                 end = 0
                 for d, k in zip(piece.column(0).to_pylist(), each.tolist(), strict=True):
                     held += [ids[end : end + k], np.array([end_id], "<u4")]
