@@ -4,7 +4,10 @@ The base finds e-mail and IP addresses, card and phone numbers. Terms near them
 they are gone: for each kind of entity k and term t the corpus gives the pointwise mutual information
 log2(p(k near | t) / p(k)). A term that tells more than ALPHA of the entity's own information, -log2 p(k), and that
 stands near at least SUPPORT different entities (copies of one count once), exceeds the threshold: its
-occurrences near entities are spans too. Entities are generalised to their kind, disclosing terms are removed."""
+occurrences near entities are spans too. The same is asked of each single entity, for terms that stand beside it in most
+of its documents and in several surroundings, as a name beside its address does; an entity whose whole
+surroundings repeat is part of a copied passage, which tells nothing. Entities are generalised to their kind,
+disclosing terms are removed."""
 
 from __future__ import annotations
 
@@ -27,6 +30,8 @@ TERM = r"[\p{L}\p{N}]+"
 #: Terms on either side of an entity, within so many characters, that count as near.
 NEAR, REACH = 3, 60
 SUPPORT, ALPHA = 10, 0.6
+#: For single entities: the least documents and surroundings, and the least share of the entity's documents that have the term near.
+OWN_SUPPORT, OWN_SHARE = 3, 0.5
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -85,33 +90,44 @@ def base_matches(rows: DataFrame) -> DataFrame:
 
 
 def _near_terms(found: DataFrame) -> DataFrame:
-    """(row, kind, value, term, start, end): the nearest whole terms on both sides of each entity."""
-    one = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    """(row, kind, value, context, term, start, end): the nearest whole terms on both sides of each entity."""
+    one = found.select("row", F.explode("found").alias("f")).select("row", "f.*", F.xxhash64("f.before", "f.after").alias("context"))
 
     def side(text: str, first: bool) -> DataFrame:
         whole = F.regexp_replace(text, f"^{TERM}", "") if first else F.regexp_replace(text, f"{TERM}$", "")
         cut = F.when(F.length(text) < REACH, F.col(text)).otherwise(whole)  # a term that the reach cuts
         lost = F.when(F.length(text) < REACH, F.lit(0)).otherwise(F.length(text) - F.length(whole)) if first else F.lit(0)
         origin = F.col("start") - F.length(text) + lost if first else F.col("end")
-        rows = one.select("row", "kind", "value", origin.alias("origin"), F.regexp_extract_all(cut, F.lit(TERM), F.lit(0)).alias("t"), F.split(cut, TERM, -1).alias("g"))
+        rows = one.select("row", "kind", "value", "context", origin.alias("origin"), F.regexp_extract_all(cut, F.lit(TERM), F.lit(0)).alias("t"), F.split(cut, TERM, -1).alias("g"))
         rows = rows.select("*", F.posexplode("t").alias("i", "term"))
         rows = rows.filter(F.col("i") >= F.size("t") - NEAR) if first else rows.filter(F.col("i") < NEAR)
         ahead = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
         start = F.col("origin") + ahead(F.col("g"), F.col("i") + 1) + ahead(F.col("t"), F.col("i"))
-        return rows.select("row", "kind", "value", F.lower("term").alias("term"), start.alias("start"), (start + F.length("term")).alias("end"))
+        return rows.select("row", "kind", "value", "context", F.lower("term").alias("term"), start.alias("start"), (start + F.length("term")).alias("end"))
 
     return side("before", True).unionByName(side("after", False))
 
 
-def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, n_docs: int, support: int, alpha: float) -> DataFrame:
-    """(kind, term, pmi) over the threshold. rows has every text, kinds (kind, docs) the documents with each kind."""
+def own_terms(near: DataFrame, entities: DataFrame) -> DataFrame:
+    """(kind, value, term, docs, of): terms near most occurrences of one entity. entities (kind, value, of) counts its documents."""
+    counts = near.groupBy("kind", "value", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("docs"))
+    strong = counts.join(entities.filter(F.col("of") >= OWN_SUPPORT), ["kind", "value"]).filter(F.col("docs") >= OWN_SHARE * F.col("of"))
+    copied = strong.groupBy("kind", "value").agg(F.count("*").alias("n")).filter(F.col("n") > NEAR).select("kind", "value")
+    enough = (F.col("docs") >= OWN_SUPPORT) & (F.col("contexts") >= OWN_SUPPORT)
+    return strong.filter(enough).join(copied, ["kind", "value"], "left_anti").select("kind", "value", "term", "docs", "of")
+
+
+def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, entities: DataFrame, n_docs: int, support: int, alpha: float) -> DataFrame:
+    """(kind, value, term, pmi) over the threshold; value is null where the term reveals the kind. rows has every text, kinds
+    (kind, of) and entities (kind, value, of) the documents with each kind and each entity."""
     counts = near.groupBy("kind", "term").agg(F.count_distinct("value").alias("values"), F.count_distinct("row").alias("docs")).filter(F.col("values") >= support)
+    of_kind = counts.join(kinds, "kind").select("kind", F.lit(None).cast("string").alias("value"), "term", "docs", "of")
+    asked = of_kind.unionByName(own_terms(near, entities)).withColumn("h", F.xxhash64("term"))
     words = F.array_distinct(F.transform(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t)))
     df = rows.select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    known = counts.withColumn("h", F.xxhash64("term")).join(df, "h").join(kinds.withColumnRenamed("docs", "of_kind"), "kind")
-    pmi = F.log2(F.col("docs") * n_docs / (F.col("df") * F.col("of_kind")))
-    own = -F.log2(F.col("of_kind") / F.lit(float(max(n_docs, 1))))
-    return known.withColumn("pmi", pmi).filter((F.col("pmi") >= alpha * own) & (own > 0)).select("kind", "term", "pmi")
+    pmi = F.log2(F.col("docs") * n_docs / (F.col("df") * F.col("of")))
+    own = -F.log2(F.col("of") / F.lit(float(max(n_docs, 1))))
+    return asked.join(df, "h").withColumn("pmi", pmi).filter((F.col("pmi") >= alpha * own) & (own > 0)).select("kind", "value", "term", "pmi")
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
@@ -125,10 +141,12 @@ def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     every = scratch.save(every.select("doc_id", "row", F.md5("text").alias("digest"), "found"), "base")
     some = every.filter(F.size("found") > 0).select("row", "found")
     near = scratch.save(_near_terms(some), "near")
-    kinds = some.select("row", F.explode(F.array_distinct(F.transform("found", lambda f: f["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("docs"))
-    told = scratch.save(disclosing_terms(rows, near, kinds, every.count(), support, alpha), "told")
+    kinds = some.select("row", F.explode(F.array_distinct(F.transform("found", lambda f: f["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("of"))
+    entities = some.select("row", F.explode("found").alias("f")).select("row", "f.kind", "f.value").distinct().groupBy("kind", "value").agg(F.count("*").alias("of"))
+    told = scratch.save(disclosing_terms(rows, near, kinds, entities, every.count(), support, alpha), "told")
     plain = lambda f: F.struct(f["start"].alias("start"), f["n"].alias("n"), f["kind"].alias("kind"), f["end"].alias("end"))
-    added = near.join(told, ["kind", "term"], "left_semi").select("row", "start", "end").distinct()
+    added = near.join(told.filter("value IS NULL"), ["kind", "term"], "left_semi").unionByName(near.join(told.filter("value IS NOT NULL"), ["kind", "value", "term"], "left_semi"))
+    added = added.select("row", "start", "end").distinct()
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("n"), F.lit("term").alias("kind"), "end")).alias("added"))
     out = every.join(added, "row", "left").withColumn("base", F.transform("found", plain))
     outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))

@@ -28,6 +28,19 @@ def test_base_spans_against_plain_patterns(spark):
     assert "[EMAIL]" in clean[3] and "Contact" not in clean[3] and clean[99] == "plain words 99"
 
 
+def test_terms_that_reveal_one_entity(spark):
+    """A name beside its address in several surroundings goes; what stands around copies of one passage stays."""
+    word = lambda i, k: f"w{i * 37 % 1000}x{k}"
+    rows = [(i, f"{word(i, 1)} {word(i, 2)} Zorvath one@mail.example.com {word(i, 3)} {word(i, 4)}") for i in range(5)]
+    rows += [(i, f"{word(i, 1)} some copied rare passage two@mail.example.com stays just so {word(i, 2)}") for i in range(10, 20)]
+    rows += [(i, f"{word(i, 1)} {word(i, 2)} only{i % 2} {i}@mail.example.com {word(i, 3)} {word(i, 4)}") for i in range(20, 26)]
+    rows += [(i, f"plain Zebra words {i}") for i in range(100, 500)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Zorvath" not in clean[i] and "[EMAIL]" in clean[i] and word(i, 2) in clean[i] for i in range(5))
+    assert all(clean[i] == t.replace("two@mail.example.com", "[EMAIL]") for i, t in rows[5:15])
+    assert all(f"only{i % 2}" in clean[i] for i in range(20, 26)) and clean[100] == "plain Zebra words 100"
+
+
 def test_weak_credentials_need_a_partner():
     loose = "Zx9Kq2Lm8Vb4Nc7Tr1Wp"
     alone, paired = f"a {loose} b", f"client_id = abc123 {loose}"
