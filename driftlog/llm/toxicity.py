@@ -5,7 +5,8 @@ towards harmless; the toxic ones that occur in several different contexts are th
 intersection with the Levenshtein automata of distance one is made deterministic as words run through it,
 and dies after a few characters for most words. Words that harmless labelled documents hold are no
 misspellings. Scoring: a hit counts less in quotation - between quotation marks, after a verb of saying - than in
-abuse, more where a window holds several; a logistic regression on the window and document sums gives the score."""
+abuse, more where a window holds several; a logistic regression on the densest window, the hits' weight per word
+and the number of different terms found gives the score."""
 
 from __future__ import annotations
 
@@ -109,7 +110,7 @@ class Model:
     stems: dict[str, float] = field(default_factory=dict)
     harmless: frozenset[str] = frozenset()
     bias: float = -4.0
-    coef: tuple[float, float] = (1.0, 1.0)
+    coef: tuple[float, ...] = (1.0, 1.0, 1.0)
 
 
 class Scorer:
@@ -161,11 +162,12 @@ class Scorer:
             before = [*before[-4:], w]
         return out
 
-    def features(self, text: str) -> tuple[float, float]:
-        """The sum of the densest window of hits, and the logarithm of the sum of all."""
-        found = self.hits(text.lower())
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The sum of the densest window of hits, and the logarithms of the weight per hundred words and of the number of different hits."""
+        text = text.lower()
+        found = self.hits(text)
         if not found:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         most, run, first = 0.0, 0.0, 0
         for s, _, v in found:
             run += v
@@ -173,11 +175,10 @@ class Scorer:
                 run -= found[first][2]
                 first += 1
             most = max(most, run)
-        return min(most, 12.0), math.log1p(sum(v for _, _, v in found))
+        return min(most, 12.0), math.log1p(100 * sum(v for _, _, v in found) / max(len(text.split()), 1)), math.log1p(len({text[s:e] for s, e, _ in found}))
 
     def score(self, text: str) -> float:
-        a, b = self.features(text)
-        z = self.model.bias + self.model.coef[0] * a + self.model.coef[1] * b
+        z = self.model.bias + sum(c * x for c, x in zip(self.model.coef, self.features(text)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -194,7 +195,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.diag([1e-3] + [1.0] * (len(w) - 1))
         g = x.T @ (p - y) + ridge * np.array([1e-3] + [1.0] * (len(w) - 1)) * w
         w = w - np.linalg.solve(h, g)
-    return np.maximum(w, [-np.inf, 0.0, 0.0])
+    return np.maximum(w, [-np.inf] + [0.0] * (len(w) - 1))
 
 
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -255,11 +256,11 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         scorer = Scorer(model)
         for b in batches:
             got = [scorer.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.float64())], ["toxic", "a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([x[k] for x in got], pa.float64()) for k in range(3))], ["toxic", "a", "b", "c"])
 
-    rows = train.mapInArrow(measure, "toxic int, a double, b double").toPandas()
-    w = _fit(rows[["a", "b"]].to_numpy(), rows["toxic"].to_numpy().astype(float))
-    model.bias, model.coef = float(w[0]), (float(w[1]), float(w[2]))
+    rows = train.mapInArrow(measure, "toxic int, a double, b double, c double").toPandas()
+    w = _fit(rows[["a", "b", "c"]].to_numpy(), rows["toxic"].to_numpy().astype(float))
+    model.bias, model.coef = float(w[0]), tuple(map(float, w[1:]))
     return model
 
 
