@@ -32,6 +32,39 @@ def placement(files: DataFrame, tiers: DataFrame, now_us) -> DataFrame:
     return fit.groupBy("file_number").agg(F.min("tier").alias("tier"))
 
 
+def tier_stats(files: DataFrame, tiers: DataFrame, now_us) -> DataFrame:
+    """Files, bytes, entries and the oldest write of each tier that holds any, by where files belong now."""
+    return files.join(placement(files, tiers, now_us), "file_number").groupBy("tier").agg(F.count("*").alias("files"), F.sum("file_bytes").alias("bytes"), F.sum("num_entries").alias("entries"), F.min("max_write_us").alias("oldest_us"))
+
+
+def faulty_tiers(tiers: DataFrame) -> DataFrame:
+    """Tiers whose greatest age doesn't exceed that of the tier before, or that follow one without limit."""
+    w = Window.orderBy("tier")
+    age = F.col("max_age_us")
+    rows = tiers.withColumns({"n": F.row_number().over(w), "before": F.lag(age).over(w)})
+    return rows.filter((F.col("n") > 1) & (F.col("before").isNull() | F.coalesce(age <= F.col("before"), F.lit(False)))).select("tier")
+
+
+def backpressure(files: DataFrame, levels: DataFrame) -> DataFrame:
+    """Whether each level's number of files slows writes down or stops them. levels: level, slowdown, stop."""
+    n = F.coalesce(F.col("n"), F.lit(0))
+    rows = levels.join(files.groupBy("level").agg(F.count("*").alias("n")), "level", "left")
+    return rows.select("level", F.when(n >= F.col("stop"), "stop").when(n >= F.col("slowdown"), "slowdown").otherwise("go").alias("writes"))
+
+
+def trim_to_budget(inputs: DataFrame, budget_bytes: int) -> DataFrame:
+    """The oldest inputs of a compaction that fit into a budget together; the first one always goes. One row a file of one level."""
+    w = Window.orderBy("max_write_us", "file_number").rowsBetween(Window.unboundedPreceding, 0)
+    rows = inputs.withColumns({"run": F.sum("file_bytes").over(w), "n": F.row_number().over(w)})
+    return rows.filter((F.col("run") <= budget_bytes) | (F.col("n") == 1)).drop("run", "n")
+
+
+def surviving_stores(files: DataFrame, listing: DataFrame, store="store") -> DataFrame:
+    """Files of stores that have lost none: one missing object discards its whole store."""
+    lost = files.join(listing.select("file_number").distinct(), "file_number", "left_anti").select(store).distinct()
+    return files.join(lost, store, "left_anti")
+
+
 def expired(files: DataFrame, cutoff_us) -> DataFrame:
     """Files wholly past their time, without range tombstones and without an overlapping older file that they would uncover."""
     old = files.filter((F.col("max_write_us") <= F.lit(cutoff_us)) & (F.col("num_range_tombstones") == 0))

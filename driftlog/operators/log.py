@@ -74,6 +74,14 @@ def deletes_with_old(log: DataFrame, key="key", seq="seq", op="op", value="value
     return old.filter(F.col(op) == "delete").select(key, seq, "old_value")
 
 
+def changelog(log: DataFrame, key="key", seq="seq", op="op", value="value") -> DataFrame:
+    """What a keyed running sum emits, an update a mutation: (key, seq, total). A delete emits null and the next put starts anew."""
+    gone = (F.col(op) == "delete").cast("int")
+    lives = log.withColumn("life", F.sum(gone).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)))
+    total = F.sum(F.when(F.col(op) == "put", F.col(value))).over(Window.partitionBy(key, "life").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
+    return lives.select(key, seq, F.when(F.col(op) == "put", total).alias("total"))
+
+
 def write_batch(spark, ops: list[tuple], batch: int) -> DataFrame:
     """A batch of ("put", key, value), ("delete", key) and ("delete_range", lower, upper) as log rows, in order."""
     rows = [(batch, i, o[0], o[1], o[2] if o[0] == "delete_range" else None, o[2] if o[0] == "put" else None) for i, o in enumerate(ops)]

@@ -10,13 +10,16 @@ def _micros(c) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def in_time(log: DataFrame, retention_s: int, ts="ts", seq="seq", by=("part",)) -> DataFrame:
+def in_time(log: DataFrame, retention_s: int, ts="ts", seq="seq", by=("part",), closed: bool = False) -> DataFrame:
     """Rows that a window store keeps on arrival: ts > stream time - retention, stream time including the row itself.
 
+    Session stores ask it of the session's end. Versioned stores also take a row exactly at the bound: closed.
+
     A store's partition is replayed in order, so its rows form one window: `by` is what scales."""
     w = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     rows = log.withColumn("stream_us", F.max(_micros(ts)).over(w))
-    return rows.filter(_micros(ts) > F.col("stream_us") - retention_s * 1_000_000).drop("stream_us")
+    bound = F.col("stream_us") - retention_s * 1_000_000
+    return rows.filter(_micros(ts) >= bound if closed else _micros(ts) > bound).drop("stream_us")
 
 
 def live_segments(rows: DataFrame, retention_s: int, segment_s: int, ts="ts", by=("part",)) -> DataFrame:
@@ -50,6 +53,23 @@ def sessions(rows: DataFrame, gap_s: int, key="key", ts="ts") -> DataFrame:
     return rows.groupBy(key, "session").agg(F.min(ts).cast("timestamp").alias("session_start"), F.max(ts).cast("timestamp").alias("session_end"), F.count("*").alias("n")).drop("session")
 
 
+def remove_sessions(store: DataFrame, removed: DataFrame, key="key") -> DataFrame:
+    """The store without sessions of exactly that key, start and end."""
+    return store.join(removed.select(key, "session_start", "session_end").distinct(), [key, "session_start", "session_end"], "left_anti")
+
+
+def covered(points: DataFrame, intervals: DataFrame, key="key", at="at", lower="lower", upper="upper") -> DataFrame:
+    """Points within an interval of their key, both ends inclusive, with that interval. A key's intervals are disjoint.
+
+    The last lower bound up to a point decides, so one pass over both sides in order finds it: no pairs are made."""
+    rest = [c for c in points.columns if c not in (key, at)]
+    p = points.select(key, at, F.lit(1).alias("side"), F.struct(F.lit(0), *rest).alias("p"), F.lit(None).alias("i"))
+    i = intervals.select(key, F.col(lower).alias(at), F.lit(0).alias("side"), F.lit(None).alias("p"), F.struct(lower, upper).alias("i"))
+    w = Window.partitionBy(key).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = p.unionByName(i).withColumn("i", F.last("i", ignorenulls=True).over(w))
+    return both.filter((F.col("side") == 1) & (F.col(f"i.{upper}") >= F.col(at))).select(key, at, *(f"p.{c}" for c in rest), "i.*")
+
+
 def find_sessions(store: DataFrame, earliest_end, latest_start) -> DataFrame:
     return store.filter((F.col("session_end") >= F.lit(earliest_end)) & (F.col("session_start") <= F.lit(latest_start)))
 

@@ -383,3 +383,99 @@ def manifest_replay(spark, d):
 query("log_events", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))  # M21
 query("level_config", "SELECT CAST(i AS INT) AS level, CAST(1048576 * pow(10, i) AS BIGINT) AS max_bytes FROM range(5) t(i)")(lambda s, d: L.geometric_levels(s, 1048576, 10, 5))  # M19
 query("entry_limits", "SELECT doc_id, octet_length(encode(text)) <= 1048576 AS fits FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", (F.octet_length("text") <= 1048576).alias("fits")))  # ingest limits
+
+
+@query("hopping_count", "SELECT user_id, w * 1800000000 AS start_us, count(*) AS n FROM (SELECT user_id, unnest([epoch_us(ts) // 1800000000, epoch_us(ts) // 1800000000 - 1]) AS w FROM events) GROUP BY ALL")  # T2, windows that overlap
+def hopping_count(spark, d):
+    return S.tumbling_count(table(spark, d, "events"), "1 hour", "user_id", slide="30 minutes").select("user_id", F.unix_micros("window_start").alias("start_us"), "n")
+
+
+@query("session_retention", f"WITH {LATE}, top AS (SELECT part, max(us) AS top FROM kept GROUP BY part) SELECT key, seq, us - 600000000 AS start_us, us AS end_us FROM kept JOIN top USING (part) WHERE us // 43200000000 >= (top - 172800000000) // 43200000000")  # SS1 SS7
+def session_retention(spark, d):
+    """Each event as a put of the session of the ten minutes before it."""
+    puts = log(spark, d).withColumns({"arrival": F.struct("arrival", "seq"), "session_end": F.timestamp_micros("us")})
+    kept = S.in_time(puts, HOUR, ts="session_end", seq="arrival")
+    return S.live_segments(kept, 48 * HOUR, 12 * HOUR, ts="session_end").select("key", "seq", (F.col("us") - 600_000_000).alias("start_us"), F.col("us").alias("end_us"))
+
+
+@query("remove_sessions", f"WITH {GAPS} SELECT * FROM sessions WHERE n % 3 <> 0")  # SS2: every session of three, six, ... events is removed
+def remove_sessions(spark, d):
+    s = S.sessions(table(spark, d, "events"), 2 * HOUR, "user_id")
+    left = S.remove_sessions(s, s.filter("n % 3 = 0"), "user_id")
+    return left.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+
+
+CLICKS = GAPS.replace("FROM events", "FROM events WHERE event_type = 'click'").replace("7200000000", "172800000000")
+
+
+@query("interval_lookup", f"WITH {CLICKS} SELECT e.user_id, e.event_id, epoch_us(e.ts) AS us, start_us, end_us FROM events e JOIN sessions s ON e.user_id = s.user_id AND epoch_us(e.ts) BETWEEN start_us AND end_us WHERE event_type = 'purchase'")  # F7
+def interval_lookup(spark, d):
+    e = table(spark, d, "events")
+    s = S.sessions(e.filter("event_type = 'click'"), 48 * HOUR, "user_id").select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"))
+    points = e.filter("event_type = 'purchase'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
+    return S.covered(points, s, "user_id", "us", "start_us", "end_us")
+
+
+@query("range_clip", f"WITH i AS (SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) AS lower, epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) * 86400000000 AS upper FROM lineitem), c AS (SELECT l_orderkey, l_linenumber, greatest(lower, 820454400000000) AS lower, least(upper, 852076800000000) AS upper FROM i) SELECT * FROM c WHERE lower < upper")  # 1996
+def range_clip(spark, d):
+    us = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", us.alias("lower"), (us + F.col("l_quantity").cast("long") * 86400000000).alias("upper"))
+    return M.clip(i, 820454400000000, 852076800000000)
+
+
+query("key_only_scan", f"WITH {STATE} SELECT key FROM state")(lambda s, d: M.scan(state(s, d)).select("key"))  # F8
+
+
+@query("running_changelog", f"""WITH {LOG}, l AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents, sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS life FROM log)
+ SELECT key, seq, coalesce(CASE WHEN op = 'put' THEN CAST(sum(CASE WHEN op = 'put' THEN cents END) OVER (PARTITION BY key, life ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) END, -1) AS total FROM l""")  # T7: -1 for a tombstone
+def running_changelog(spark, d):
+    rows = log(spark, d).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return M.changelog(rows, value="cents").withColumn("total", F.coalesce("total", F.lit(-1)))
+
+
+@query("window_overwrite", f"WITH {LOG} SELECT key, hour_us, value, seq FROM (SELECT key, us // 3600000000 * 3600000000 AS hour_us, value, seq, op, row_number() OVER (PARTITION BY key, us // 3600000000 ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND op = 'put'")  # WS1 WS13: without duplicates, a window's last write stands
+def window_overwrite(spark, d):
+    rows = log(spark, d).withColumn("hour_us", F.expr("us div 3600000000 * 3600000000"))
+    return M.live_state(rows, key=["key", "hour_us"]).select("key", "hour_us", "value", "seq")
+
+
+@query("versioned_put_in_time", f"WITH {LOG}, st AS (SELECT *, max(us) OVER (PARTITION BY part ORDER BY arrival, seq ROWS UNBOUNDED PRECEDING) AS stream FROM log) SELECT key, seq FROM st WHERE us >= stream - 3600000000")  # VS1: older ones are refused
+def versioned_put_in_time(spark, d):
+    return S.in_time(log(spark, d).withColumn("arrival", F.struct("arrival", "seq")), HOUR, seq="arrival", closed=True).select("key", "seq")
+
+
+@query("tier_stats", f"WITH {FILES}, t AS (SELECT *, CASE WHEN {NOW} - max_write_us <= 86400000000 THEN 0 WHEN {NOW} - max_write_us <= 864000000000 THEN 1 ELSE 2 END AS tier FROM files) SELECT tier, count(*) AS files, CAST(sum(file_bytes) AS BIGINT) AS bytes, CAST(sum(num_entries) AS BIGINT) AS entries, min(max_write_us) AS oldest_us FROM t GROUP BY tier")  # M12 M16 M17
+def tier_stats(spark, d):
+    return L.tier_stats(files(spark, d), spark.createDataFrame(TIERS, "tier int, max_age_us long"), NOW)
+
+
+BAD_TIERS = [(0, 10), (1, 20), (2, 20), (3, None), (4, 50)]
+
+
+@query("faulty_tiers", "SELECT unnest([2, 4]) AS tier")  # M22
+def faulty_tiers(spark, d):
+    return L.faulty_tiers(spark.createDataFrame(BAD_TIERS, "tier int, max_age_us long"))
+
+
+PRESSURE = [(0, 1, 3), (1, 2, 10**9), (2, 10**8, 10**9), (3, 1, 2)]
+
+
+@query("backpressure", f"WITH {FILES}, l(level, slowdown, stop) AS (VALUES {', '.join(map(str, PRESSURE))}) SELECT l.level, CASE WHEN count(file_number) >= any_value(stop) THEN 'stop' WHEN count(file_number) >= any_value(slowdown) THEN 'slowdown' ELSE 'go' END AS writes FROM l LEFT JOIN files USING (level) GROUP BY l.level")  # M20
+def backpressure(spark, d):
+    return L.backpressure(files(spark, d), spark.createDataFrame(PRESSURE, "level long, slowdown long, stop long"))
+
+
+@query("compaction_budget", f"WITH {FILES}, r AS (SELECT file_number, row_number() OVER w AS n, sum(file_bytes) OVER w AS run FROM files WHERE level = 0 WINDOW w AS (ORDER BY max_write_us, file_number ROWS UNBOUNDED PRECEDING)) SELECT file_number FROM r WHERE run <= 8000 OR n = 1")  # M2
+def compaction_budget(spark, d):
+    return L.trim_to_budget(files(spark, d).filter("level = 0"), 8000).select("file_number")
+
+
+@query("surviving_stores", f"WITH {FILES}, f AS (SELECT file_number, file_number // 40 AS store FROM files) SELECT file_number, store FROM f WHERE store NOT IN (SELECT store FROM f WHERE file_number NOT IN (SELECT s_suppkey FROM supplier))")  # M14: supplier stands for a listing
+def surviving_stores(spark, d):
+    f = files(spark, d).select("file_number", F.expr("file_number div 40").alias("store"))
+    return L.surviving_stores(f, table(spark, d, "supplier").select(F.col("s_suppkey").alias("file_number"))).select("file_number", "store")
+
+
+@query("reencryption_pending", f"WITH {FILES} SELECT level, count(*) FILTER (file_number % 5 <> 0) AS pending FROM files GROUP BY level")  # M15: the provider of a file's key stands in its number
+def reencryption_pending(spark, d):
+    return files(spark, d).groupBy("level").agg(F.count_if(F.col("file_number") % 5 != 0).alias("pending"))

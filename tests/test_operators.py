@@ -72,3 +72,33 @@ def test_tiers_are_checked():
     layout.check_tiers([{"max_age_us": 1}, {"max_age_us": None}])
     with pytest.raises(ValueError):
         layout.check_tiers([{"max_age_us": None}, {"max_age_us": 3}])
+
+
+def test_points_within_disjoint_intervals(spark):
+    rng = random.Random(4)
+    spans = [(k, lo, lo + rng.randrange(0, 6)) for k in range(3) for lo in range(0, 60, 7)]
+    points = [(k, rng.randrange(-3, 70), n) for n, k in enumerate([0, 1, 2, 3] * 30)]
+    got = temporal.covered(spark.createDataFrame(points, "key long, at long, n long"), spark.createDataFrame(spans, "key long, lower long, upper long")).collect()
+    want = [(k, at, n, lo, hi) for k, at, n in points for j, lo, hi in spans if j == k and lo <= at <= hi]
+    assert sorted(map(tuple, got)) == sorted(want) and want
+
+
+def test_changelog_starts_anew_after_a_delete(spark):
+    rows = [("a", 1, "put", 5), ("a", 2, "put", 6), ("b", 3, "delete", None), ("a", 4, "delete", 9), ("a", 5, "put", 1)]
+    got = M.changelog(spark.createDataFrame(rows, "key string, seq long, op string, value long")).collect()
+    assert sorted(tuple(r) for r in got if r.key == "a") == [("a", 1, 5), ("a", 2, 11), ("a", 4, None), ("a", 5, 1)] and [r.total for r in got if r.key == "b"] == [None]
+
+
+def test_the_retention_bound_of_windows_and_versions(spark):
+    rows = spark.createDataFrame([(0, 1, 100), (0, 2, 90), (0, 3, 89), (0, 4, 91)], "part long, seq long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert {r.seq for r in temporal.in_time(rows, 10).collect()} == {1, 4}
+    assert {r.seq for r in temporal.in_time(rows, 10, closed=True).collect()} == {1, 2, 4}
+
+
+def test_store_layout(spark):
+    tiers = spark.createDataFrame([(0, 10), (1, 10), (2, None), (3, 99)], "tier int, max_age_us long")
+    assert {r.tier for r in layout.faulty_tiers(tiers).collect()} == {1, 3}
+    files = spark.createDataFrame([(1, 0, 500, 10), (2, 0, 30, 20), (3, 1, 30, 5), (4, 1, 1, 6)], "file_number long, store long, file_bytes long, max_write_us long")
+    assert {r.file_number for r in layout.trim_to_budget(files.filter("store = 0"), 100).collect()} == {1}
+    assert {r.file_number for r in layout.trim_to_budget(files.filter("store = 1"), 30).collect()} == {3}
+    assert {r.file_number for r in layout.surviving_stores(files, files.filter("file_number <> 2")).collect()} == {3, 4}
