@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Row
 
-from driftlog.llm import simhash
+from driftlog.llm import similar, simhash
 from driftlog.llm.common import Scratch
 from driftlog.llm.components import connected_components
 from driftlog.llm.exact_dedup import drop_copies, exact_dedup
@@ -104,3 +104,43 @@ def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(path, "u long, v long"), Scratch(spark, "cc")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]}
+
+
+def brute_similar(texts):
+    """The least id of each group joined by pairs whose five-word sets have a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        k = min(5, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return set(root.values())
+
+
+def test_similar_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(400)]
+    texts = ["", " ", "a b", "A  B\n", "a c"]
+    for _ in range(8):
+        base = rng.choices(words, k=rng.choice((60, 120, 300)))
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 6, 9):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts, 10))
+    want = brute_similar(rows)
+    few = {r.component_id for r in simhash.simhash_components(docs(spark, rows)).collect()}
+    assert len(few) > len(want), "three bits leave near copies"
+    for part in (256, 3):  # the second deals the components out as pairs of parts
+        monkeypatch.setattr(similar, "PART", part)
+        assert {r.doc_id for r in similar.drop_similar(docs(spark, rows)).collect()} == want
+    odd = docs(spark, [(1, "one two"), (1, "three four"), (None, "ONE two"), (2, "three  four"), (None, None)])
+    assert sorted((r.doc_id or 0, r.text or "") for r in similar.drop_similar(odd).collect()) == [(0, ""), (1, "one two"), (1, "three four")]
+    assert similar.drop_similar(docs(spark, [])).count() == 0
