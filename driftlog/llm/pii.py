@@ -5,8 +5,8 @@ they are gone: for each kind of entity k and term t the corpus gives the pointwi
 log2(p(k near | t) / p(k)). A term that tells more than ALPHA of the entity's own information, -log2 p(k), and that
 stands near at least SUPPORT different entities (copies of one count once), exceeds the threshold: its
 occurrences near entities are spans too. The same is asked of each single entity, for terms that stand beside it in most
-of its documents and in several surroundings, as a name beside its address does; an entity whose whole
-surroundings repeat is part of a copied passage, which tells nothing. Entities are generalised to their kind,
+of its documents and in several surroundings, as a name beside its address does. Surroundings are the near terms on both
+sides, so a copied passage is one of them however often it is copied, and tells nothing. Entities are generalised to their kind,
 disclosing terms are removed."""
 
 from __future__ import annotations
@@ -91,11 +91,18 @@ def base_matches(rows: DataFrame) -> DataFrame:
 
 def _near_terms(found: DataFrame) -> DataFrame:
     """(row, kind, value, context, term, start, end): the nearest whole terms on both sides of each entity."""
-    one = found.select("row", F.explode("found").alias("f")).select("row", "f.*", F.xxhash64("f.before", "f.after").alias("context"))
+    one = found.select("row", F.explode("found").alias("f")).select("row", "f.*")
 
-    def side(text: str, first: bool) -> DataFrame:
+    def whole_terms(text: str, first: bool) -> tuple[Column, Column]:
         whole = F.regexp_replace(text, f"^{TERM}", "") if first else F.regexp_replace(text, f"{TERM}$", "")
-        cut = F.when(F.length(text) < REACH, F.col(text)).otherwise(whole)  # a term that the reach cuts
+        return whole, F.when(F.length(text) < REACH, F.col(text)).otherwise(whole)  # a term that the reach cuts
+
+    terms = lambda text, first: F.regexp_extract_all(F.lower(whole_terms(text, first)[1]), F.lit(TERM), F.lit(0))
+    nearest = F.slice(F.reverse(terms("before", True)), 1, NEAR), F.slice(terms("after", False), 1, NEAR)
+    one = one.withColumn("context", F.xxhash64(*(F.array_join(t, " ") for t in nearest)))
+
+    def side(text: str, first: bool) -> DataFrame:
+        whole, cut = whole_terms(text, first)
         lost = F.when(F.length(text) < REACH, F.lit(0)).otherwise(F.length(text) - F.length(whole)) if first else F.lit(0)
         origin = F.col("start") - F.length(text) + lost if first else F.col("end")
         rows = one.select("row", "kind", "value", "context", origin.alias("origin"), F.regexp_extract_all(cut, F.lit(TERM), F.lit(0)).alias("t"), F.split(cut, TERM, -1).alias("g"))
@@ -112,9 +119,8 @@ def own_terms(near: DataFrame, entities: DataFrame) -> DataFrame:
     """(kind, value, term, docs, of): terms near most occurrences of one entity. entities (kind, value, of) counts its documents."""
     counts = near.groupBy("kind", "value", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("docs"))
     strong = counts.join(entities.filter(F.col("of") >= OWN_SUPPORT), ["kind", "value"]).filter(F.col("docs") >= OWN_SHARE * F.col("of"))
-    copied = strong.groupBy("kind", "value").agg(F.count("*").alias("n")).filter(F.col("n") > NEAR).select("kind", "value")
     enough = (F.col("docs") >= OWN_SUPPORT) & (F.col("contexts") >= OWN_SUPPORT)
-    return strong.filter(enough).join(copied, ["kind", "value"], "left_anti").select("kind", "value", "term", "docs", "of")
+    return strong.filter(enough).select("kind", "value", "term", "docs", "of")
 
 
 def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, entities: DataFrame, n_docs: int, support: int, alpha: float) -> DataFrame:

@@ -41,6 +41,14 @@ def test_terms_that_reveal_one_entity(spark):
     assert all(f"only{i % 2}" in clean[i] for i in range(20, 26)) and clean[100] == "plain Zebra words 100"
 
 
+def test_names_with_function_words_beside_them(spark):
+    """Four of six places repeat, the surroundings don't: the names go, words that are common elsewhere stay."""
+    rows = [(i, f"v{i}a v{i}b Maria Lopez at x@y.example.com for v{i}c v{i}d v{i}e") for i in range(6)]
+    rows += [(i, f"plain words at home for all {i}") for i in range(100, 500)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Maria" not in clean[i] and "Lopez" not in clean[i] and " at " in clean[i] and " for " in clean[i] and f"v{i}b" in clean[i] for i in range(6))
+
+
 def test_weak_credentials_need_a_partner():
     loose = "Zx9Kq2Lm8Vb4Nc7Tr1Wp"
     alone, paired = f"a {loose} b", f"client_id = abc123 {loose}"
