@@ -1,10 +1,12 @@
 """Information-theoretic sanitisation of personal data, DataFrame functions only.
 
-The base finds e-mail and IP addresses, card and phone numbers. Terms near them may give them away still when
-they are gone: for each kind of entity k and term t the corpus gives the pointwise mutual information
-log2(p(k near | t) / p(k)). A term that tells more than ALPHA of the entity's own information, -log2 p(k), and that
-stands near at least SUPPORT different entities (copies of one count once), exceeds the threshold: its
-occurrences near entities are spans too. The same is asked of each single entity, for terms that stand beside it in most
+The base finds e-mail and IP addresses, card and phone numbers. Terms of the same document may give them away still
+when they are gone: for each kind of entity k and term t the corpus gives the pointwise mutual information
+log2(p(k | t) / p(k)), once for k near t and once for k anywhere in t's document, entities themselves left out. A term
+that tells more than ALPHA of the entity's own information, -log2 p(k), and that stands with at least SUPPORT different
+entities (copies of one count once), exceeds the threshold: all its occurrences in documents with k are spans too.
+Over whole documents so many terms are asked that some stand with k by chance, so p(k | t) is there the lower
+bound of Wilson's interval at SURE standard deviations. The same is asked of each single entity, for terms that stand beside it in most
 of its documents and in several surroundings, as a name beside its address does. Surroundings are the near terms on both
 sides, so a copied passage is one of them however often it is copied, and tells nothing. Entities are generalised to their kind,
 disclosing terms are removed."""
@@ -32,6 +34,7 @@ NEAR, REACH = 3, 60
 SUPPORT, ALPHA = 10, 0.6
 #: For single entities: the least documents and surroundings, and the least share of the entity's documents that have the term near.
 OWN_SUPPORT, OWN_SHARE = 3, 0.5
+SURE = 4.0
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -115,6 +118,31 @@ def _near_terms(found: DataFrame) -> DataFrame:
     return side("before", True).unionByName(side("after", False))
 
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+
+
+def _outside(text: Column) -> Column:
+    """The text with a blank for each match of `found`."""
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
+    step = lambda a, f: F.struct(F.concat(a["out"], F.substring(text, a["pos"] + 1, F.greatest(f["start"] - a["pos"], F.lit(0))), F.lit(" ")).alias("out"), F.greatest(a["pos"], f["end"]).alias("pos"))
+    return F.aggregate("found", state, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+
+
+def whole_counts(terms: DataFrame, near: DataFrame, held: DataFrame, entities: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """Counts over whole documents: (kind, h, docs) of terms with enough different entities, (kind, value, h, docs, of) with single ones.
+
+    terms (row, term) are distinct, without the entities' own; held (row, kind, value) is distinct. Equal sets of entities count once."""
+    hashed = terms.select("row", F.xxhash64("term").alias("h"))
+    sets = held.groupBy("row", "kind").agg(F.xxhash64(F.array_sort(F.collect_list("value"))).alias("entities"))
+    kind = hashed.join(sets, "row").groupBy("kind", "h").agg(F.count("*").alias("docs"), F.count_distinct("entities").alias("values")).filter(F.col("values") >= support).select("kind", "h", "docs")
+    often = entities.filter(F.col("of") >= OWN_SUPPORT)
+    around = near.select("row", "kind", "value", "context").distinct().join(often, ["kind", "value"])
+    own = hashed.join(around, "row").groupBy("kind", "value", "of", "h").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("docs"))
+    enough = (F.col("docs") >= OWN_SUPPORT) & (F.col("contexts") >= OWN_SUPPORT) & (F.col("docs") >= OWN_SHARE * F.col("of"))
+    return kind, own.filter(enough).select("kind", "value", "h", "docs", "of")
+
+
 def own_terms(near: DataFrame, entities: DataFrame) -> DataFrame:
     """(kind, value, term, docs, of): terms near most occurrences of one entity. entities (kind, value, of) counts its documents."""
     counts = near.groupBy("kind", "value", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("docs"))
@@ -123,17 +151,38 @@ def own_terms(near: DataFrame, entities: DataFrame) -> DataFrame:
     return strong.filter(enough).select("kind", "value", "term", "docs", "of")
 
 
-def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, entities: DataFrame, n_docs: int, support: int, alpha: float) -> DataFrame:
-    """(kind, value, term, pmi) over the threshold; value is null where the term reveals the kind. rows has every text, kinds
-    (kind, of) and entities (kind, value, of) the documents with each kind and each entity."""
+def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, entities: DataFrame, whole: tuple[DataFrame, DataFrame], n_docs: int, support: int, alpha: float) -> DataFrame:
+    """(kind, value, h) over the threshold, h a term's hash; value is null where the term reveals the kind. rows has every text, kinds
+    (kind, of) and entities (kind, value, of) the documents with each kind and each entity, whole what whole_counts gives."""
+    null = F.lit(None).cast("string").alias("value")
+    columns = ["kind", "value", "h", "docs", "of", "sure"]
     counts = near.groupBy("kind", "term").agg(F.count_distinct("value").alias("values"), F.count_distinct("row").alias("docs")).filter(F.col("values") >= support)
-    of_kind = counts.join(kinds, "kind").select("kind", F.lit(None).cast("string").alias("value"), "term", "docs", "of")
-    asked = of_kind.unionByName(own_terms(near, entities)).withColumn("h", F.xxhash64("term"))
-    words = F.array_distinct(F.transform(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t)))
-    df = rows.select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    pmi = F.log2(F.col("docs") * n_docs / (F.col("df") * F.col("of")))
-    own = -F.log2(F.col("of") / F.lit(float(max(n_docs, 1))))
-    return asked.join(df, "h").withColumn("pmi", pmi).filter((F.col("pmi") >= alpha * own) & (own > 0)).select("kind", "value", "term", "pmi")
+    of_kind = counts.join(kinds, "kind").select("kind", null, F.xxhash64("term").alias("h"), "docs", "of", F.lit(0.0).alias("sure"))
+    own = own_terms(near, entities).select("kind", "value", F.xxhash64("term").alias("h"), "docs", "of", F.lit(0.0).alias("sure"))
+    anywhere = whole[0].join(kinds, "kind").select("kind", null, "h", "docs", "of", F.lit(SURE).alias("sure"))
+    asked = of_kind.unionByName(own).unionByName(anywhere).unionByName(whole[1].withColumn("sure", F.lit(0.0)).select(columns))
+    df = rows.select(F.explode(F.transform(_terms(F.col("text")), lambda t: F.xxhash64(t))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    p, z = F.col("docs") / F.col("df"), F.col("sure") * F.col("sure") / F.col("df")
+    low = (p + z / 2 - F.sqrt(F.greatest(z * (p * (1 - p) + z / 4), F.lit(0.0)))) / (1 + z)
+    pmi = F.log2(low * n_docs / F.col("of"))
+    own_bits = -F.log2(F.col("of") / F.lit(float(max(n_docs, 1))))
+    return asked.join(df, "h").filter((pmi >= alpha * own_bits) & (own_bits > 0)).select("kind", "value", "h").distinct()
+
+
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """texts (row, text, told: array of terms) -> (row, added): every occurrence of the terms as whole terms, as spans."""
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("told", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    texts = texts.withColumn("m", F.regexp_extract_all("text", pattern, F.lit(0))).withColumn("p", F.split("text", pattern, -1))
+    empty = F.expr("CAST(array() AS array<struct<start: int, n: int, kind: string, end: int>>)")
+    state = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["pos"] + F.length(x["p"])
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("n"), F.lit("term").alias("kind"), (start + F.length(x["m"])).alias("end"))
+        return F.struct((start + F.length(x["m"])).alias("pos"), F.concat(s["out"], F.array(span)).alias("out"))
+
+    pairs = F.arrays_zip(F.col("m").alias("m"), F.slice("p", 1, F.size("m")).alias("p"))
+    return texts.select("row", F.aggregate(pairs, state, step, lambda s: s["out"]).alias("added"))
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
@@ -144,16 +193,20 @@ def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     every = base_matches(rows.withColumn("row", F.monotonically_increasing_id()))
-    every = scratch.save(every.select("doc_id", "row", F.md5("text").alias("digest"), "found"), "base")
-    some = every.filter(F.size("found") > 0).select("row", "found")
+    every = scratch.save(every.select("doc_id", "row", F.md5("text").alias("digest"), "found", F.when(F.size("found") > 0, F.col("text")).alias("text")), "base")
+    some = every.filter(F.size("found") > 0).select("row", "found", "text")
     near = scratch.save(_near_terms(some), "near")
     kinds = some.select("row", F.explode(F.array_distinct(F.transform("found", lambda f: f["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("of"))
-    entities = some.select("row", F.explode("found").alias("f")).select("row", "f.kind", "f.value").distinct().groupBy("kind", "value").agg(F.count("*").alias("of"))
-    told = scratch.save(disclosing_terms(rows, near, kinds, entities, every.count(), support, alpha), "told")
+    held = some.select("row", F.explode("found").alias("f")).select("row", "f.kind", "f.value").distinct()
+    entities = held.groupBy("kind", "value").agg(F.count("*").alias("of"))
+    terms = some.select("row", F.explode(_terms(_outside(F.col("text")))).alias("term"))
+    whole = whole_counts(terms, near, held, entities, support)
+    told = scratch.save(disclosing_terms(rows, near, kinds, entities, whole, every.count(), support, alpha), "told")
+    # Terms by document, then every occurrence of them in it.
+    here = terms.withColumn("h", F.xxhash64("term")).join(told, "h").join(held.withColumnsRenamed({"row": "r", "kind": "k", "value": "v"}), (F.col("row") == F.col("r")) & (F.col("kind") == F.col("k")) & (F.col("value").isNull() | (F.col("value") == F.col("v"))))
+    here = scratch.save(here.groupBy("row").agg(F.collect_set("term").alias("told")), "here")
+    added = _occurrences(here.join(some.select("row", "text"), "row"))
     plain = lambda f: F.struct(f["start"].alias("start"), f["n"].alias("n"), f["kind"].alias("kind"), f["end"].alias("end"))
-    added = near.join(told.filter("value IS NULL"), ["kind", "term"], "left_semi").unionByName(near.join(told.filter("value IS NOT NULL"), ["kind", "value", "term"], "left_semi"))
-    added = added.select("row", "start", "end").distinct()
-    added = added.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("n"), F.lit("term").alias("kind"), "end")).alias("added"))
     out = every.join(added, "row", "left").withColumn("base", F.transform("found", plain))
     outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter("added", outside))))
@@ -161,7 +214,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with every entity generalised to its kind, as [EMAIL], and every disclosing term beside one removed."""
+    """docs with every entity generalised to its kind, as [EMAIL], and every disclosing term in its document removed."""
     spans = pii_spans(docs, text_col, id_col, **how).filter(F.size("spans") > 0).select(F.col("doc_id").alias("driftlog_id"), F.col("digest").alias("driftlog_md5"), "spans").withColumnRenamed("spans", "driftlog_spans").dropDuplicates(["driftlog_id", "driftlog_md5"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("driftlog_id")) & (F.md5(text) == F.col("driftlog_md5"))

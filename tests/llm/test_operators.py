@@ -49,6 +49,18 @@ def test_names_with_function_words_beside_them(spark):
     assert all("Maria" not in clean[i] and "Lopez" not in clean[i] and " at " in clean[i] and " for " in clean[i] and f"v{i}b" in clean[i] for i in range(6))
 
 
+def test_terms_far_from_their_entity(spark):
+    """A name in the heading goes wherever it stands in the entity's documents, as does a heading that goes with a kind."""
+    pad = lambda i, n: " ".join(f"f{(i * 31 + k * 7) % 150}" for k in range(n))
+    rows = [(i, f"Zorvath heads this {pad(i, 12)} u{i}a to one@mail.example.com of u{i}b {pad(i + 9, 9)} (Zorvath), end") for i in range(5)]
+    rows += [(i, f"Dossier {pad(i, 14)} user{i}@mail.example.com {pad(i + 3, 14)} signed DOSSIER") for i in range(20, 50)]
+    rows += [(i, f"plain end signed heads this to of {pad(i, 30)}") for i in range(100, 500)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Zorvath" not in clean[i] and "[EMAIL]" in clean[i] and f"u{i}b" in clean[i] and clean[i].endswith("(), end") for i in range(5))
+    assert all("dossier" not in clean[i].lower() and clean[i].endswith("signed ") for i in range(20, 50))
+    assert all(clean[i] == t for i, t in rows if i >= 100)
+
+
 def test_weak_credentials_need_a_partner():
     loose = "Zx9Kq2Lm8Vb4Nc7Tr1Wp"
     alone, paired = f"a {loose} b", f"client_id = abc123 {loose}"
