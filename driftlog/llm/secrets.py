@@ -29,8 +29,8 @@ SCOPE = re.compile(r"\n[\x20\t]*\n")
 
 
 def _looks_random(s: str) -> bool:
-    """Upper case, lower case and digits, and at least 3.5 bits a character."""
-    if not (re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s)):
+    """Two of upper case, lower case and digits, and at least 3.5 bits a character; the linking rejects the rest."""
+    if sum(bool(re.search(c, s)) for c in ("[a-z]", "[A-Z]", "[0-9]")) < 2:
         return False
     return -sum(k / len(s) * math.log2(k / len(s)) for k in map(s.count, set(s))) >= 3.5
 

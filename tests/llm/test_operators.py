@@ -71,6 +71,13 @@ def test_weak_credentials_need_a_partner():
     assert secrets.base_spans('token = "abcdef" AKIA' + "A" * 16) == [("assign", 0, 15), ("access", 17, 37)]
 
 
+def test_weak_secrets_of_two_character_classes():
+    for loose in ("JBSWY3DPEHPK3PXPQ7RT2VLM", "zx9kq2lm8vb4nc7tr1wp"):
+        alone, paired = f"a {loose} b", f"client_id = abc123 {loose}"
+        assert secrets.linked_spans(alone, secrets.base_spans(alone)) == []
+        assert ("secret", 19, 19 + len(loose)) in secrets.linked_spans(paired, secrets.base_spans(paired))
+
+
 def test_main_text(spark):
     page = '<html><head><title>t</title><script>var t="</p>";</script></head><body><nav><a href="/">menu</a></nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p><b>One  two<br><p>Three\nfour</p><div class="comments"><p>me too</p></div></article><footer>f</footer></body></html>'
     df = spark.createDataFrame([(1, "http://a.example/x", page), (2, None, None), (3, "http://a.example/y", "")], "page_id long, url string, html string")
