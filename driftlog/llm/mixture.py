@@ -32,6 +32,10 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(NOT_SPACE)).cast("long")
 
 
+def _digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def source_targets(sizes: DataFrame, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
     """sizes (source, source_size, rows), a row per source -> with rank, weight and target.
 
@@ -65,14 +69,14 @@ def _position(done: Column, schedule: Column) -> Column:
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, most: int = MOST, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, positions, range-sorted by first position.
+    """One row per input row: doc_id, digest (md5 of the text), size, source_size, target, taken, positions, range-sorted by first position.
 
     taken: the words the mix takes of the document, repeats counted; a source's sum is its target, rounded to a word.
     positions: the training time of each pass over the document, empty where nothing is taken. Null texts have size
     0; null is a source of its own, the last. Rows that repeat an id count each; their order ends with
-    size, so equal rows are interchangeable. Empty tables give empty results; other columns are ignored."""
+    size and digest, so equal rows are interchangeable. Empty tables give empty results; other columns are ignored."""
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _digest(text_col).alias("digest"), words(F.col(text_col)).alias("size"))
     rows = scratch.save(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     sizes = scratch.save(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
 
@@ -86,12 +90,12 @@ def mix(docs: DataFrame, schedules=SCHEDULES, most: int = MOST, text_col: str =
     mixed = mixed.select("source", "source_size", "target", F.pmod("rank", F.lit(len(schedules))).cast("int").alias("kind"), F.round("target").cast("long").alias("quota"), digits.alias("digits"))
     mixed = scratch.save(mixed, "targets")
     same = rows["source"].eqNullSafe(mixed["source"])
-    dealt = rows.join(mixed, same).select("doc_id", rows["source"], "size", "h", "source_size", "target", "kind", "quota", F.expr("substring(h, 1, digits)").alias("bucket"))
+    dealt = rows.join(mixed, same).select("doc_id", "digest", rows["source"], "size", "h", "source_size", "target", "kind", "quota", F.expr("substring(h, 1, digits)").alias("bucket"))
     dealt = scratch.save(dealt, "dealt")
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = scratch.save(sums.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")), "ahead")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     run = dealt.withColumn("c", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     run = run.join(sums.withColumnsRenamed({"source": "s2", "bucket": "b2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("bucket") == F.col("b2")))
     c = F.col("ahead") + F.col("c")
@@ -102,22 +106,24 @@ def mix(docs: DataFrame, schedules=SCHEDULES, most: int = MOST, text_col: str =
     schedule = F.element_at(F.array(*map(literal, schedules)), F.col("kind") + 1)
     share = lambda k: (k * F.col("source_size") + F.col("c")) / F.greatest(F.col("quota"), F.lit(1)).cast("double")
     positions = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("passes") - 1, F.lit(0))), lambda k: _position(F.least(share(k), F.lit(1.0)), schedule))).otherwise(F.expr("array()").cast("array<double>"))
-    out = run.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("extra")).alias("taken"), positions.alias("positions"))
+    out = run.select("doc_id", "digest", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("extra")).alias("taken"), positions.alias("positions"))
     out = scratch.save(out, "mixed")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     first = F.try_element_at("positions", F.lit(1))
     return out.repartitionByRange(parts, first.asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(first.asc_nulls_last(), "doc_id")
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs as the mix trains on them: a row per pass, range-sorted by position; documents of which nothing is taken go.
 
-    Documents stay whole: a last pass that the target cuts short counts if at least half of it is taken."""
-    plan = mix(docs, id_col=id_col, **how)
+    Documents stay whole: a last pass that the target cuts short counts if at least half of it is taken.
+    Different texts with the same id have passes of their own."""
+    plan = mix(docs, id_col=id_col, text_col=text_col, **how)
     whole = F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest("size", F.lit(1))).cast("int")
     plan = plan.withColumn("positions", F.slice("positions", 1, F.least(whole, F.size("positions"))))
-    plan = plan.filter(F.size("positions") > 0).groupBy(F.col("doc_id").alias("driftlog_id")).agg(F.max("positions").alias("driftlog_at"))
+    plan = plan.filter(F.size("positions") > 0).groupBy(F.col("doc_id").alias("driftlog_id"), F.col("digest").alias("driftlog_md5")).agg(F.max("positions").alias("driftlog_at"))
     plan = Scratch(docs.sparkSession, "plan").save(plan)
-    rows = docs.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("driftlog_id"))).select(*docs.columns, F.explode("driftlog_at").alias("driftlog_at"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("driftlog_id")) & (_digest(text_col) == F.col("driftlog_md5"))
+    rows = docs.join(plan, same).select(*docs.columns, F.explode("driftlog_at").alias("driftlog_at"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartitionByRange(parts, "driftlog_at", id_col).sortWithinPartitions("driftlog_at", id_col).drop("driftlog_at")

@@ -1,7 +1,7 @@
 import re
 
 from driftlog.llm import html_text, pii, secrets
-from driftlog.llm.mixture import mix
+from driftlog.llm.mixture import apply_mix, mix
 from driftlog.llm.toxicity import FuzzyTrie, Model, Scorer, learn, with_scores
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -96,6 +96,12 @@ def test_mix_meets_targets(spark):
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_texts_that_share_an_id_have_their_own_passes(spark):
+    rows = [(1, "", "a"), (1, "one two three", "a"), (2, "four five", "a"), (2, None, "a")]
+    got = sorted(r.text or "" for r in apply_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == ["four five", "one two three"]
+
+
 def test_automata_and_context(spark):
     trie = FuzzyTrie(["moron", "pathetic"])
     assert [trie.find(w) for w in ("moron", "morom", "moon", "morron", "mrn", "pathetik")] == ["moron", "moron", "moron", "moron", None, "pathetic"]
