@@ -11,8 +11,12 @@ from ..sources.tables import shared_dir
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """The Parquet files of that name in a folder, as a stream with `at`, the event time as a timestamp."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
+    """The table of that name in a folder, one file or a folder of part files, as a stream with `at`, the event time as a timestamp."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    parts = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    read = spark.readStream.schema(schema)
+    rows = read.parquet(f"{folder}/{name}") if parts else read.option("pathGlobFilter", name).parquet(folder)
+    return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def run_to_end(df: DataFrame, mode: str) -> DataFrame:
