@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that count as white space: space and \t to \r.
@@ -17,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one where all run in one process, an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="driftlog-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,3 +51,35 @@ class Scratch:
         for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class ByteBounded(dict):
+    """What a worker keeps between batches, str -> bytes: emptied once the entries take more than `most` bytes."""
+
+    ENTRY = 220  # the objects' heads and the table's slot
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def put(self, key: str, value: bytes) -> bytes:
+        size = self.ENTRY + 2 * len(key) + len(value)
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        if size <= self.most // 64:  # odd giants would push all others out
+            self[key] = value
+            self.held += size
+        return value
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `most` bytes of a text column, a row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)

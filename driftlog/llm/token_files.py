@@ -15,6 +15,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import ByteBounded, Scratch, slices
 
 MAGIC = b"DLPLANE1"
 BLOCK_IDS = 16384
 SHARD_IDS = 1 << 20
 LEVEL = 3
+#: Bytes of words and their ids that a worker keeps.
+KEPT_BYTES = 96 << 20
 
 
 def _planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -105,6 +108,8 @@ _MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _PLAIN = re.compile(f"[{_LETTERS}{_MARKS}0-9]+")
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+|[0-9]")
 _WHITE = re.compile("[ \t\r\n]+")
+#: Letters, then marks that can't start a special token; the empty word too.
+_SIMPLE = f"^(?P<head>[{_LETTERS}]*)(?P<tail>[.,;:!?]*)$"
 
 
 class WordTokenizer:
@@ -112,16 +117,18 @@ class WordTokenizer:
 
     Its pre-tokenizer drops white space, so a text falls apart at blanks, tabs and line ends. A word of Latin letters, ASCII
     marks (no apostrophe) and ASCII digits falls apart further, into runs of letters, runs of marks and single digits, as
-    the pre-tokenizer cuts it. All other words, and those that may hold a special token, go to the library whole."""
+    the pre-tokenizer cuts it. All other words, and those that may hold a special token, go to the library whole.
 
-    def __init__(self, path: str, kept: int = 400_000):
+    What it keeps, ids by part, is bounded in bytes."""
+
+    def __init__(self, path: str, kept: int = KEPT_BYTES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.kept, self.known = kept, {}
+        self.known = ByteBounded(kept)
 
     def _parts(self, word: str) -> list[str]:
         out = []
@@ -134,28 +141,59 @@ class WordTokenizer:
                 out.append(w)
         return out
 
+    def _learn(self, new: list[str], found: dict[str, bytes], encode) -> None:
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for p, ids in zip(some, encode(some), strict=True):
+                found[p] = self.known.put(p, ids)
+
+    def _encode_each(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_joined(self, parts: list[str]) -> list[bytes]:
+        """Parts of letters or marks, one run of the pre-tokenizer each: as one text, a digit between them, which is a token of its own."""
+        mark = self.lib.encode("1", add_special_tokens=False).ids
+        (got,) = self.lib.encode_batch_fast([" 1 ".join(parts)], add_special_tokens=False)
+        ids = np.array(got.ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
+        if len(mark) != 1 or len(ends) != len(parts):
+            return self._encode_each(parts)
+        flat, ends = ids.tobytes(), ends * 4
+        return [flat[s:e] for s, e in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
         words = pc.split_pattern(texts, " ")
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
         coded = pc.dictionary_encode(pc.list_flatten(words))
-        parts = [self._parts(w) for w in coded.dictionary.to_pylist()]
-        known = self.known
-        if len(known) > self.kept:
-            known.clear()
-        new = list({p for ps in parts for p in ps if p not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        blobs = [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
+        names, known = coded.dictionary, self.known
+        # Most words are letters, or letters and then marks: those fall apart in Arrow, one or two parts each.
+        cut = pc.extract_regex(names, _SIMPLE)
+        simple = pc.is_valid(cut).to_numpy(zero_copy_only=False)
+        cut = cut.filter(pc.is_valid(cut))
+        heads, tails = pc.utf8_lower(pc.struct_field(cut, "head")).to_pylist(), pc.struct_field(cut, "tail").to_pylist()
+        odd = [self._parts(w) for w in names.filter(pa.array(~simple)).to_pylist()]
+        single = dict.fromkeys(heads) | dict.fromkeys(tails)
+        single.pop("", None)
+        several = dict.fromkeys(p for ps in odd for p in ps if p not in single)
+        found = dict(zip(single, map(known.get, single), strict=True)) | dict(zip(several, map(known.get, several), strict=True))
+        self._learn([p for p in single if found[p] is None], found, self._encode_joined)
+        self._learn([p for p in several if found[p] is None], found, self._encode_each)
+        found[""] = b""
+        blobs = np.empty(len(names), object)
+        blobs[simple] = [found[h] + found[t] if t else found[h] for h, t in zip(heads, tails, strict=True)]
+        blobs[~simple] = [b"".join([found[p] for p in ps]) for ps in odd]
+        blobs = blobs.tolist()
         flat = np.frombuffer(b"".join(blobs), "<u4")
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) >> 2
         start = np.cumsum(size) - size
         use = coded.indices.to_numpy(zero_copy_only=False)
         each = size[use]
         total = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(start[use] - total[:-1], each) + np.arange(total[-1])]
+        narrow = np.int32 if max(len(flat), total[-1]) < 1 << 30 else np.int64
+        at = np.repeat((start[use] - total[:-1]).astype(narrow), each)
+        at += np.arange(total[-1], dtype=narrow)
+        ids = flat.take(at)
         return ids, np.diff(total[ends])
 
 
@@ -178,8 +216,7 @@ def write_token_shards(docs: DataFrame, tokenizer_file: str, end_id: int, scratc
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_ids": pa.array([n], pa.int64()), "payload": pa.array([write_shard(np.concatenate(held), names, lengths, bits)], pa.binary())})
 
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                piece = b.slice(at, 2000)
+            for piece in slices(b, 1):
                 ids, each = words.encode(piece.column(1).cast(pa.large_string()))
                 end = 0
                 for d, k in zip(piece.column(0).to_pylist(), each.tolist(), strict=True):
