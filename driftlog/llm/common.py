@@ -54,22 +54,29 @@ class Scratch:
 
 
 class ByteBounded(dict):
-    """What a worker keeps between batches, str -> bytes: emptied once the entries take more than `most` bytes."""
+    """What a worker keeps between batches, str -> bytes, in two generations of `most` / 2 bytes: a full one becomes the older, which is
+    let go when the next is full. get() looks at the younger; older() at the older, and makes what it finds young again."""
 
     ENTRY = 220  # the objects' heads and the table's slot
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.held = most, 0
+        self.most, self.held, self.before = most // 2, 0, {}
+
+    def older(self, key: str) -> bytes | None:
+        found = self.before.pop(key, None)
+        return None if found is None else self.put(key, found)
 
     def put(self, key: str, value: bytes) -> bytes:
         size = self.ENTRY + 2 * len(key) + len(value)
+        if size > self.most // 64:  # odd giants would push all others out
+            return value
         if self.held + size > self.most:
+            self.before = dict(self)
             self.clear()
             self.held = 0
-        if size <= self.most // 64:  # odd giants would push all others out
-            self[key] = value
-            self.held += size
+        self[key] = value
+        self.held += size
         return value
 
 

@@ -12,16 +12,21 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ByteBounded, slices
+
 SPACE_MARK = "▁"
 LETTERS = r"[^\W\d_]"
-#: Chunks and neighbour checks that a worker keeps.
-KEPT = 1_000_000
+#: Bytes of chunks with their ids that a worker keeps, and how many neighbour checks (some 200 bytes each).
+KEPT_BYTES, KEPT_CHECKS = 128 << 20, 150_000
+#: What a normaliser that changes nothing leaves as it is: ligatures, wide letters, marks that combine, runs and ends of blanks, controls.
+PROBES = ("a", "ﬁ①ｱＡ", "e\u0301é", " a  b ", "\ta\nb\r", "\u00a0\u3000\u200b", "İßΣς", "\x01\x7f", "漢字🙂")
 
 
 class Codec:
@@ -37,6 +42,10 @@ class Codec:
         self.score = {lib.id_to_piece(i): lib.get_score(i) for i in ids}
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids):
             raise ValueError("a piece goes over a word's end")
+        if any(lib.normalize(t) != SPACE_MARK + t.replace(" ", SPACE_MARK) for t in PROBES):
+            raise ValueError("the model's normaliser changes texts")
+        if lib.unk_id() in lib.encode("\x00\U0010fffd"):
+            raise ValueError("the model needs byte pieces for what its vocabulary lacks")
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.end = lib.eos_id()
         self.automaton = ahocorasick.Automaton()
@@ -49,7 +58,9 @@ class Codec:
             self.chunk = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = ByteBounded(KEPT_BYTES)
+        if any(self.encode(t).tolist() != lib.encode(t) for t in PROBES):
+            raise ValueError("the model doesn't merge by its scores alone")
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE: the adjacent pair whose piece scores highest merges first, the leftmost of equals."""
@@ -97,7 +108,7 @@ class Codec:
     def compatible(self, a: str, b: str) -> bool:
         found = self.fits.get((a, b))
         if found is None:
-            if len(self.fits) > KEPT // 3:
+            if len(self.fits) > KEPT_CHECKS:
                 self.fits.clear()
             found = self.fits[a, b] = self.merge(a + b) == [a, b]
         return found
@@ -110,50 +121,54 @@ class Codec:
 
     def pieces(self, chunk: str) -> list[str]:
         """The merge result of a chunk, by backtracking. Characters in no piece are tokens of their own."""
-        starts: list[list[int]] = [[] for _ in chunk]
+        starts = [2] * len(chunk)  # bit n: a piece of n characters starts here
         for end, n in self.automaton.iter(chunk):
-            starts[end - n + 1].append(n)  # shorter pieces end earlier, so lengths ascend
-        for at, lengths in enumerate(starts):
-            if not lengths or lengths[0] != 1:
-                lengths.insert(0, 1)
+            starts[end - n + 1] |= 1 << n
         out: list[str] = []
-        left: list[int] = [len(starts[0])]  # candidates of each open position that are still to be tried
-        at, dead = 0, 0
-        while at < len(chunk):
-            options = starts[at]
-            k = left[-1]
-            while k:
-                k -= 1
-                n = options[k]
-                if dead >> (at + n) & 1:
+        left = [starts[0]]  # what is still to be tried at each open position
+        at, dead, size, last = 0, 0, len(chunk), None
+        fits, whole = self.fits, self.whole
+        while at < size:
+            options = left[-1]
+            while options:
+                n = options.bit_length() - 1
+                options ^= 1 << n
+                if dead and dead >> (at + n) & 1:
                     continue
                 piece = chunk[at : at + n]
-                if (n == 1 or self.reachable(piece)) and (not out or self.compatible(out[-1], piece)):
+                if n > 1:
+                    ok = whole.get(piece)
+                    if not (self.reachable(piece) if ok is None else ok):
+                        continue
+                if last is None:
+                    break
+                ok = fits.get((last, piece))
+                if self.compatible(last, piece) if ok is None else ok:
                     break
             else:
                 dead |= 1 << at
                 left.pop()
                 at -= len(out.pop())
+                last = out[-1] if out else None
                 continue
-            left[-1] = k
+            left[-1] = options
             out.append(piece)
+            last = piece
             at += n
-            left.append(len(starts[at]) if at < len(chunk) else 0)
+            left.append(starts[at] if at < size else 0)
         return out
 
     def chunk_ids(self, chunk: str) -> bytes:
         """The ids of a chunk as 32-bit integers."""
-        found = self.known.get(chunk)
+        found = self.known.older(chunk)
         if found is None:
-            if len(self.known) > KEPT:
-                self.known.clear()
             ids: list[int] = []
             for p in self.pieces(chunk):
                 i = self.ids.get(p)
                 ids.extend([i] if i is not None else [self.bytes[b] for b in p.encode()])
-            found = np.array(ids, "<i4").tobytes()
+            found = array("i", ids).tobytes()
             if len(chunk) <= 64:
-                self.known[chunk] = found
+                self.known.put(chunk, found)
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -183,8 +198,7 @@ def encode_and_decode(docs: DataFrame, model_file: str, text_col: str = "text",
         codec = worker_codec(model_file)
         end = np.array([codec.end], "<i4")
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in slices(b, 1, 4 << 20):
                 ids = [np.concatenate([codec.encode(t), end]) for t in part.column(1).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 decoded = [codec.decode(x.tolist()) for x in ids]

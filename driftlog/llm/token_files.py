@@ -30,7 +30,7 @@ BLOCK_IDS = 16384
 SHARD_IDS = 1 << 20
 LEVEL = 3
 #: Bytes of words and their ids that a worker keeps.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 128 << 20
 
 
 def _planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -142,6 +142,8 @@ class WordTokenizer:
         return out
 
     def _learn(self, new: list[str], found: dict[str, bytes], encode) -> None:
+        older = self.known.older
+        new = [p for p in new if (b := older(p)) is None or found.update({p: b})]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for p, ids in zip(some, encode(some), strict=True):
