@@ -53,6 +53,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reserved(docs: DataFrame) -> None:
+    """Operators that give back a table's own columns join with columns of this prefix."""
+    if clash := [c for c in docs.columns if c.lower().startswith("driftlog_")]:
+        raise ValueError(f"columns {clash} have a reserved prefix")
+
+
 class ByteBounded(dict):
     """What a worker keeps between batches, str -> bytes, in two generations of `most` / 2 bytes: a full one becomes the older, which is
     let go when the next is full. get() looks at the younger; older() at the older, and makes what it finds young again."""

@@ -144,3 +144,22 @@ def test_similar_against_brute_force(spark, monkeypatch):
     odd = docs(spark, [(1, "one two"), (1, "three four"), (None, "ONE two"), (2, "three  four"), (None, None)])
     assert sorted((r.doc_id or 0, r.text or "") for r in similar.drop_similar(odd).collect()) == [(0, ""), (1, "one two"), (1, "three four")]
     assert similar.drop_similar(docs(spark, [])).count() == 0
+
+
+def test_block_names_are_ranks_however_the_data_lie(spark):
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choice("ab ") for _ in range(rng.choice([3, 700, 1500, 5000])))) for i in range(60)]
+    texts += [(i + 100, t) for i, t in texts[::3]]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = []
+        for parts in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append({r.doc_id: (r.level, r.name) for r in exact_dedup(docs(spark, texts).repartition(int(parts))).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    normal = {i: t.replace(" ", "") for i, t in texts}
+    short = [(normal[i], name) for i, (level, name) in got[0].items() if level == 0]
+    assert [n for _, n in sorted(short)] == sorted(n for _, n in short)
+    assert all((got[0][i] == got[0][j]) == (normal[i] == normal[j]) for i in normal for j in normal)
