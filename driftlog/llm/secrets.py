@@ -2,20 +2,25 @@
 
 Strong patterns are reported alone (the base). Weak candidates - identifiers, secret-looking strings and
 endpoints, each common in harmless text - are reported only when complementary parts lie near each other in one scope:
-sorted intervals of the parts are joined by nearest neighbour within REACH characters, and scopes end at
-blank lines. An access identifier needs a secret, a weak secret needs an identifier or an endpoint, an endpoint a secret."""
+an interval join of the parts by document, scope and cell of CELL characters finds those at most REACH apart, and scopes
+end at blank lines. An identifier or an endpoint needs a secret, a weak secret an identifier, an access id or an endpoint."""
 
 from __future__ import annotations
 
 import math
 import re
 from bisect import bisect_left
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 REACH = 300
+#: The interval join's cell; a part reaches into few of them.
+CELL = 1024
 BASE = ("assign", "access", "hex")
 ADDED = ("ident", "secret", "endpoint")
 _A = re.ASCII | re.IGNORECASE
@@ -45,63 +50,82 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _near(span: tuple[int, int], others: list[tuple[int, int]], breaks: list[int]) -> bool:
-    """Whether some other interval, apart from this one, lies within REACH and in the same scope. others is sorted."""
-    k = bisect_left(others, span)
-    for o in others[max(0, k - 2) : k + 2]:
-        apart = o[0] >= span[1] or o[1] <= span[0]
-        gap = max(o[0] - span[1], span[0] - o[1])
-        lo, hi = min(o[1], span[1]), max(o[0], span[0])
-        if apart and gap <= REACH and bisect_left(breaks, lo) == bisect_left(breaks, hi):
-            return True
-    return False
+def _disjoint(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that cover the same characters."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
-def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Weak candidates with complementary parts beside them."""
-    if not base and "=" not in text and ":" not in text:
-        return []  # no identifier, no endpoint
-    of = lambda kind: [(s, e) for k, s, e in base if k == kind]
-    taken = sorted((s, e) for _, s, e in base)
+def _meets(cover: tuple[list[int], list[int]], s: int, e: int) -> bool:
+    starts, ends = cover
+    k = bisect_left(starts, e)
+    return k > 0 and ends[k - 1] > s
 
-    def free(s: int, e: int) -> bool:
-        k = bisect_left(taken, (s, e))
-        return all(o[1] <= s or o[0] >= e for o in taken[max(0, k - 3) : k + 3])
 
-    idents = sorted((m.start(), m.end()) for m in IDENT.finditer(text) if free(m.start(), m.end()))
-    ends = sorted((m.start(), m.end()) for m in ENDPOINT.finditer(text) if free(m.start(), m.end()))
-    strong_ids = sorted(of("access"))
-    if not (idents or ends or strong_ids):
+def parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bool, int, int, int]]:
+    """(role, weak, scope, start, end) of all parts that a link may need; none where one side is missing. Weak ones don't meet the base."""
+    if not base and "=" not in text and ":" not in text:
+        return []  # no identifier, no endpoint
+    taken = _disjoint([(s, e) for _, s, e in base])
+    apart = lambda pattern: [m.span() for m in pattern.finditer(text) if not _meets(taken, *m.span())]
+    ends = apart(ENDPOINT)
+    partners = [("ident", True, *x) for x in apart(IDENT)] + [("endpoint", True, *x) for x in ends] + [("access", False, s, e) for k, s, e in base if k == "access"]
+    if not partners:
+        return []
+    within = _disjoint(ends)
+    secrets = [("secret", True, *m.span()) for m in LOOSE.finditer(text) if not _meets(taken, *m.span()) and not _meets(within, m.start(), m.start() + 1) and _looks_random(m[0])]
+    secrets += [("secret", False, s, e) for k, s, e in base if k != "access"]
+    if not secrets:
         return []
-    inside = lambda m: any(s <= m.start() < e for s, e in ends[max(0, bisect_left(ends, (m.start() + 1, 0)) - 1) :][:1])
-    loose = [(m.start(), m.end()) for m in LOOSE.finditer(text) if free(m.start(), m.end()) and not inside(m) and _looks_random(m[0])]
     breaks = [m.start() for m in SCOPE.finditer(text)]
-    strong = sorted(of("assign") + of("hex"))
-    secrets = sorted(strong + loose)
-    partners = sorted(strong_ids + idents + ends)
-    out = [("secret", *s) for s in loose if _near(s, partners, breaks)]
-    out += [("ident", *s) for s in idents if _near(s, secrets, breaks)]
-    out += [("endpoint", *s) for s in ends if _near(s, secrets, breaks)]
-    return out
+    return [(k, w, bisect_left(breaks, s), s, e) for k, w, s, e in partners + secrets]
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """found (row, parts) -> (row, kind, start, end): weak parts with a complementary part apart from them, at most REACH away, in their scope."""
+    one = found.select("row", F.explode("parts").alias("p")).select("row", "p.*").withColumn("secret", F.col("kind") == "secret")
+    cell = lambda c: F.floor(c / CELL)
+    weak = one.filter("weak").drop("weak").withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("start")), cell(F.col("end") - 1)))))
+    other = one.select("row", "scope", (~F.col("secret")).alias("secret"), F.col("start").alias("s"), F.col("end").alias("e"))
+    other = other.withColumn("cell", F.explode(F.sequence(cell(F.col("s") - REACH - 1), cell(F.col("e") + REACH))))
+    near = F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e")).between(0, REACH)
+    keys = ["row", "scope", "secret", "cell"]
+    same = reduce(lambda a, b: a & b, (weak[k] == other[k] for k in keys))
+    return weak.join(other, same & near, "left_semi").select("row", "kind", "start", "end").distinct()
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, spans (array of kind, start, end in code points, base), by start and then kind.
 
-    Null texts count as empty and have no spans. Repeated rows and null ids stay; an empty table gives an empty
-    result; other columns are ignored."""
+    Null texts count as empty and have no spans. Very long texts are read in linear time. Repeated rows and null ids stay, each with its own
+    spans; spans that start together go by kind; an empty table gives an empty result; other columns are ignored."""
     order = {k: n for n, k in enumerate(BASE + ADDED)}
+    span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("base", pa.bool_())]))
+    part = pa.list_(pa.struct([("kind", pa.string()), ("weak", pa.bool_()), ("scope", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            spans = []
-            for text in b.column(1):
+            spans, links = [], []
+            for text in b.column(2):
                 text = text.as_py()
                 base = base_spans(text)
-                found = [(s, order[k], k, e, True) for k, s, e in base] + [(s, order[k], k, e, False) for k, s, e in linked_spans(text, base)]
-                spans.append([{"kind": k, "start": s, "end": e, "base": x} for s, _, k, e, x in sorted(found)])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind string, start int, end int, base boolean>>")
+                spans.append(sorted((s, order[k], k, e, True) for k, s, e in base))
+                links.append(parts(text, base))
+            names = lambda kind, rows: [[dict(zip((f.name for f in kind.value_type), x, strict=True)) for x in r] for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names(span, spans), span), pa.array(names(part, links), part)], ["row", "doc_id", "spans", "parts"])
+
+    scratch = Scratch(docs.sparkSession, "secrets")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kinds = "spans array<struct<start int, n int, kind string, end int, base boolean>>, parts array<struct<kind string, weak boolean, scope int, start int, end int>>"
+    found = scratch.save(rows.mapInArrow(run, f"row long, doc_id long, {kinds}"), "found")
+    number = F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), F.col("kind"))
+    added = linked(found.filter(F.size("parts") > 0)).groupBy("row").agg(F.collect_list(F.struct("start", number.alias("n"), "kind", "end", F.lit(False).alias("base"))).alias("added"))
+    all_of = found.drop("parts").join(scratch.save(added, "added"), "row", "left")
+    spans = F.when(F.col("added").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "added")))
+    return all_of.select("doc_id", F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))).alias("spans"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from driftlog.llm import html_text, pii, secrets
@@ -61,21 +62,52 @@ def test_terms_far_from_their_entity(spark):
     assert all(clean[i] == t for i, t in rows if i >= 100)
 
 
-def test_weak_credentials_need_a_partner():
-    loose = "Zx9Kq2Lm8Vb4Nc7Tr1Wp"
-    alone, paired = f"a {loose} b", f"client_id = abc123 {loose}"
-    assert secrets.linked_spans(alone, secrets.base_spans(alone)) == []
-    assert {k for k, _, _ in secrets.linked_spans(paired, secrets.base_spans(paired))} == {"ident", "secret"}
-    apart = f"client_id = abc123\n\n{loose}"
-    assert secrets.linked_spans(apart, []) == []
-    assert secrets.base_spans('token = "abcdef" AKIA' + "A" * 16) == [("assign", 0, 15), ("access", 17, 37)]
-
-
-def test_weak_secrets_of_two_character_classes():
-    for loose in ("JBSWY3DPEHPK3PXPQ7RT2VLM", "zx9kq2lm8vb4nc7tr1wp"):
-        alone, paired = f"a {loose} b", f"client_id = abc123 {loose}"
-        assert secrets.linked_spans(alone, secrets.base_spans(alone)) == []
-        assert ("secret", 19, 19 + len(loose)) in secrets.linked_spans(paired, secrets.base_spans(paired))
+def scan(spark, texts):
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: [(s.kind, s.start, s.end, s.base) for s in r.spans] for r in rows}
+
+
+def test_weak_credentials_need_a_partner(spark):
+    loose = ["Zx9Kq2Lm8Vb4Nc7Tr1Wp", "JBSWY3DPEHPK3PXPQ7RT2VLM", "zx9kq2lm8vb4nc7tr1wp"]
+    texts = [f"a {x} b" for x in loose] + [f"client_id = abc123 {x}" for x in loose] + [f"client_id = abc123\n\n{loose[0]}", f"client_id = abc123 {'w ' * 160} {loose[0]}", 'token = "abcdef" AKIA' + "A" * 16]
+    got = scan(spark, texts)
+    assert not any(got[i] for i in (0, 1, 2, 6, 7))
+    assert all([k for k, *_ in got[i]] == ["ident", "secret"] and got[i][1][1:3] == (19, 19 + len(loose[i - 3])) for i in (3, 4, 5))
+    assert got[8] == [("assign", 0, 15, True), ("access", 17, 37, True)]
+
+
+PLAIN = {
+    "assign": (r"""((?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:w|W)(?:o|O)(?:r|R)(?:d|D)|(?i:passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+    "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+}
+
+
+def test_secrets_against_plain_patterns_and_all_pairs(spark, monkeypatch):
+    """The base as the contract's patterns give it; links as comparing each weak part with every other part gives them."""
+    rng = random.Random(11)
+    words = ["password=", "Token: ", "api_key='", "hunter22x", "AKIA" + "B7" * 9, "c0ffee" * 4, "c0ffee" * 3, "user = bob1", "login:al.ice", "https://api.example.com/v1", "host=db1.example.net:99", "Zx9Kq2Lm8Vb4Nc7Tr1Wp", "q7RT2VLMJBSWY3DPEHPK", "plain", "words", "é😀", "\n", "\n \n", "SECRET" , "= ", "x" * 300]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    monkeypatch.setattr(secrets, "CELL", 64)
+    got = scan(spark, texts)
+    more = 0
+    for i, text in enumerate(texts):
+        base = sorted((m.start(), n, k, m.end()) for n, (k, (p, ok)) in enumerate(PLAIN.items()) for m in re.finditer(p, text, re.A) if ok(m))
+        assert [(s, k, e) for s, _, k, e in base] == [(s, k, e) for k, s, e, b in got[i] if b]
+        free = lambda m: all(e <= m.start() or s >= m.end() for s, _, _, e in base)
+        ends = [m.span() for m in secrets.ENDPOINT.finditer(text) if free(m)]
+        left = [("ident", *m.span()) for m in secrets.IDENT.finditer(text) if free(m)] + [("endpoint", *x) for x in ends]
+        keys = [("secret", *m.span()) for m in secrets.LOOSE.finditer(text) if free(m) and not any(s <= m.start() < e for s, e in ends) and secrets._looks_random(m[0])]
+        sides = [left + [(k, s, e) for s, _, k, e in base if k == "access"], keys + [(k, s, e) for s, _, k, e in base if k != "access"]]
+
+        def near(a, b):
+            lo, hi = (a, b) if a[2] <= b[1] else (b, a)
+            return lo[2] <= hi[1] <= lo[2] + secrets.REACH and not re.search(r"\n[ \t]*\n", text[lo[1] : hi[1] + 1])
+
+        want = {x for x in left if any(near(x, y) for y in sides[1])} | {x for x in keys if any(near(x, y) for y in sides[0])}
+        assert want == {(k, s, e) for k, s, e, b in got[i] if not b}
+        more += len(want)
+    assert more > 200
 
 
 def test_main_text(spark):
