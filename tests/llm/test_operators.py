@@ -1,3 +1,4 @@
+import html
 import random
 import re
 
@@ -117,6 +118,54 @@ def test_main_text(spark):
     assert got == {1: "A & B\nOne two\nThree four", 2: "", 3: ""}
 
 
+def text_of(page):
+    return html_text.extract(page, html_text.best_path(page)[0])
+
+
+def test_markup_is_read_as_browsers_read_it():
+    wrap = lambda x: f"<body><article>{x}</article></body>"
+    assert text_of(wrap("<p>" + "\u0130" * 20 + "<script>x</script></p><p>kept</p>")) == "\u0130" * 20 + "\nkept"
+    assert text_of(wrap('<p class="a"">Hello<p title=it\'s>you <b data-x=">">all</b>')) == "Hello\nyou all"
+    assert text_of(wrap("<p>1 < 2 <3 &lt;b&gt; a<!-- > x --> b</p>")) == "1 < 2 <3 <b> a b"
+    assert text_of(wrap("<p>x <SCRIPT>a</scripty></ScRiPt >y</p><p>z</p><p")) == "x y\nz"
+    assert text_of(wrap("<p>a &am" + "<b>p; b</b></p>")) == "a &amp; b"
+    deep = "<div>" * 30_000 + "<b>" * 30_000 + "deep" + "</i>" * 30_000
+    assert text_of(f"<body>{deep}") == "deep"
+
+
+def test_words_in_names_are_no_verdict():
+    page = """<body><header>Site</header><article><div class="entry-header"><h1>Head</h1></div><section class="social-policy"><p>On policy.</p></section>
+      <blockquote class="notice-board">Quote</blockquote><p>x<math><mi>y</mi></math></p><div class="social-tools"><a href="/">Tweet it now</a> or</div>
+      <div id="reader-comments"><p>me too, a long remark that says much</p></div><div class="ad-slot">Buy</div></article></body>"""
+    assert text_of(page) == "Head\nOn policy.\nQuote\nxy"
+
+
+def test_the_host_decides(spark):
+    """A page whose longest container is not the one that its host's articles stand in."""
+    page = lambda body, more: f'<body><div class="story">{body}</div><div class="teasers">{more}</div></body>'
+    long, short = "<p>" + "An article of many words. " * 9 + "</p>", "<p>A short one.</p>"
+    rows = [(i, "http://a.example/", page(long, "<p>more</p>")) for i in range(5)] + [(9, "http://a.example/9", page(short, long)), (10, "http://b.example/", page(short, long))]
+    got = {r.page_id: (r.text, r.consensus) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == ("A short one.", True) and got[10][0].startswith("An article") and got[0][0].startswith("An article")
+
+
+def test_main_text_of_generated_pages(spark):
+    """Pages built from a list of blocks: the article's blocks come back, whatever stands around them."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice(["río", "a", "word", "x&y", "<tag>", "naïve", "1", "“so”"]) for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        blocks = [words(rng.randrange(1, 40)) for _ in range(rng.randrange(1, 9))]
+        coded = [rng.choice(["<p>{}</p>", "<p>{}", "<div class='c1'>{}</div>", "<ul><li>{}</li></ul>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<p><b>{}</b></p>"]).format(html.escape(b).replace(" ", rng.choice([" ", "\n", "  ", " <i></i>"]))) for b in blocks]
+        noise = [f"<nav><a href=/>{words(60)}</a></nav>", f'<div class="ad">{words(9)}</div>', f"<footer>{words(30)}</footer>", f"<aside>{words(30)}</aside>", f"<form>{words(5)}</form>", "<script>if (a<b) '</p>'</script>", f'<section id="comments">{words(30)}</section>', f"<!-- {words(5)} -->"]
+        rng.shuffle(noise)
+        inner = [x for pair in zip(coded, rng.choices(noise[:4] + [""] * 9, k=len(coded))) for x in pair]
+        rows.append((i, f"https://h{i % 7}.example/{i}", f"<html><head><title>t</title></head><body>{noise[4]}<article>{''.join(inner)}</article>{noise[5]}{noise[6]}</body></html>"))
+        want[i] = "\n".join(blocks)
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, "w " * (i % 17), s) for i, s in enumerate(["a", "b", None, "c"] * 30)]
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
