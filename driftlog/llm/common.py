@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that count as white space: space and \t to \r.
 SPACE = r"[\x20\x09-\x0D]"
@@ -53,6 +54,59 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks_of(array: Column) -> Column:
+    """An array cut into about as many pieces as each has entries, so that what is quadratic in a piece stays far below the square of all."""
+    wide = lambda a: F.greatest(F.ceil(F.sqrt(F.size(a))).cast("int"), F.lit(1))
+    last = lambda a, w: F.floor((F.greatest(F.size(a), F.lit(1)) - 1) / w).cast("int")
+    return let(array, lambda a: let(wide(a), lambda w: F.transform(F.sequence(F.lit(0), last(a, w)), lambda j: F.slice(a, j * w + 1, w))))
+
+
+def scanned(array: Column, start: Column, step, kind: str) -> Column:
+    """start, step(start, x1), step(step(start, x1), x2), ...: one entry more than the array. kind: the type of the state. For short arrays."""
+    state = F.struct(start.alias("now"), F.array(start).cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(array, state, lambda s, x: let(step(s["now"], x), lambda v: F.struct(v.alias("now"), F.concat(s["out"], F.array(v)).alias("out"))), lambda s: s["out"])
+
+
+def running_sums(array: Column) -> Column:
+    """The sums of an array of integers up to each entry, in blocks."""
+    add = lambda s, x: s + x
+
+    def of(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add))
+        return F.flatten(F.zip_with(blocks, scanned(sums, F.lit(0), add, "int"), lambda b, at: F.when(b.isNotNull(), F.slice(scanned(b, at, add, "int"), F.lit(2), F.size(b))).otherwise(F.expr("CAST(array() AS array<int>)"))))
+
+    return let(blocks_of(array), of)
+
+
+def replaced(text: Column, spans: Column, label, tail=lambda s, pos: F.lit("")) -> Column:
+    """text with label(span) for each of the spans (start, end, ...; by start); a span that begins within one before, which ends at pos, only
+    adds tail(span, pos). In blocks."""
+    far = lambda b: F.coalesce(F.array_max(F.transform(b, lambda s: s["end"])), F.lit(0))
+
+    def of(blocks: Column) -> Column:
+        ends = scanned(F.transform(blocks, far), F.lit(0), lambda s, x: F.greatest(s, x), "int")
+
+        def block(b: Column, lo: Column) -> Column:
+            piece = F.substring(text, lo + 1, F.greatest(far(b) - lo, F.lit(0)))
+            state = F.struct(F.lit("").alias("out"), lo.alias("pos"))
+            return let(piece, lambda p: F.aggregate(
+                b, state,
+                lambda a, s: F.struct(
+                    F.when(s["start"] < a["pos"], F.concat(a["out"], tail(s, a["pos"]))).otherwise(F.concat(a["out"], F.substring(p, a["pos"] - lo + 1, s["start"] - a["pos"]), label(s))).alias("out"),
+                    F.greatest(a["pos"], s["end"]).alias("pos")),
+                lambda a: a["out"]))
+
+        made = F.zip_with(blocks, ends, lambda b, lo: F.when(b.isNotNull(), block(b, lo)).otherwise(F.substring(text, lo + 1, F.length(text))))
+        return F.array_join(made, "")
+
+    return let(blocks_of(spans), of)
+
+
 def reserved(docs: DataFrame) -> None:
     """Operators that give back a table's own columns join with columns of this prefix."""
     if clash := [c for c in docs.columns if c.lower().startswith("driftlog_")]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, let
 
 #: The band, as shares of all documents. A document with d distinct terms adds d to the sum of all frequencies, so at
 #: most (mean of d) / LOW terms lie above LOW: the lexicon has a bound that does not grow with the corpus.
@@ -34,11 +34,6 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     return [r.h for r in counts.filter(F.col("count").between(max(2, low * n), max(3, high * n))).select("h").collect()]
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _levels(root: Column) -> Column:
     """Signatures of the sorted hashes `root` and of its parts. Each part is cut out of the part it lies in."""
     sign = lambda a: F.when(F.size(a) > 0, F.shiftright(F.xxhash64(a), 32).cast("int"))

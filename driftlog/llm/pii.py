@@ -9,14 +9,14 @@ Over whole documents so many terms are asked that some stand with k by chance, s
 bound of Wilson's interval at SURE standard deviations. The same is asked of each single entity, for terms that stand beside it in most
 of its documents and in several surroundings, as a name beside its address does. Surroundings are the near terms on both
 sides, so a copied passage is one of them however often it is copied, and tells nothing. Entities are generalised to their kind,
-disclosing terms are removed."""
+disclosing terms to their broader class - the terms that begin alike - if that class stays below the threshold; if not they are removed."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, let, replaced, reserved, running_sums
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that no match backtracks: runs are possessive, and a match starts where a run does (or a match ended).
@@ -35,6 +35,8 @@ SUPPORT, ALPHA = 10, 0.6
 #: For single entities: the least documents and surroundings, and the least share of the entity's documents that have the term near.
 OWN_SUPPORT, OWN_SHARE = 3, 0.5
 SURE = 4.0
+#: Asked terms up to this number are broadcast (8 bytes each).
+FEW_ASKED = 1_000_000
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -57,21 +59,16 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(12, 19) & F.when(n.between(12, 19), luhn(digits)).otherwise(False)
 
 
+def _placed(m: Column, p: Column) -> Column:
+    """Structs (at, end) of matches m, with p what lies between them: running sums of the lengths, in blocks."""
+    ends = running_sums(F.zip_with(F.slice(p, 1, F.size(m)), m, lambda a, b: F.length(a) + F.length(b)))
+    return F.zip_with(m, ends, lambda x, e: F.struct((e - F.length(x)).alias("at"), e.alias("end")))
+
+
 def _found(kind: str) -> Column:
     """Structs (start, n, kind, end, value, before, after) of the valid matches in `text`; matches in m_kind, what lies between in p_kind."""
     m, p = F.col(f"m_{kind}"), F.col(f"p_{kind}")
-    empty = F.expr("CAST(array() AS array<struct<at: int, end: int>>)")
-    # Ends of all matches, one after the other; the start is the end less the match's length.
-    ends = F.aggregate(
-        F.arrays_zip(m.alias("m"), F.slice(p, 1, F.size(m)).alias("p")),
-        F.struct(F.lit(0).alias("pos"), empty.alias("out")),
-        lambda s, x: F.struct(
-            (s["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("pos"),
-            F.concat(s["out"], F.array(F.struct((s["pos"] + F.length(x["p"])).alias("at"), (s["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("end")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    rows = F.arrays_zip(m.alias("m"), ends.alias("e"), F.slice(p, 1, F.size(m)).alias("before"), F.slice(p, 2, F.size(m)).alias("after"))
+    rows = let(_placed(m, p), lambda e: F.arrays_zip(m.alias("m"), e.alias("e"), F.slice(p, 1, F.size(m)).alias("before"), F.slice(p, 2, F.size(m)).alias("after")))
     rows = F.filter(rows, lambda x: _valid(kind, x["m"]))
     made = F.transform(rows, lambda x: F.struct(x["e"]["at"].alias("start"), F.lit(KINDS.index(kind)).alias("n"), F.lit(kind).alias("kind"), x["e"]["end"].alias("end"), x["m"].alias("value"), F.right(x["before"], F.lit(REACH)).alias("before"), F.substring(x["after"], 1, REACH).alias("after")))
     return F.when(F.size(m) > 0, made).otherwise(F.slice(made, 1, 0))
@@ -124,9 +121,7 @@ def _terms(text: Column) -> Column:
 
 def _outside(text: Column) -> Column:
     """The text with a blank for each match of `found`."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    step = lambda a, f: F.struct(F.concat(a["out"], F.substring(text, a["pos"] + 1, F.greatest(f["start"] - a["pos"], F.lit(0))), F.lit(" ")).alias("out"), F.greatest(a["pos"], f["end"]).alias("pos"))
-    return F.aggregate("found", state, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+    return replaced(text, F.col("found"), lambda s: F.lit(" "))
 
 
 def whole_counts(terms: DataFrame, near: DataFrame, held: DataFrame, entities: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +146,7 @@ def own_terms(near: DataFrame, entities: DataFrame) -> DataFrame:
     return strong.filter(enough).select("kind", "value", "term", "docs", "of")
 
 
-def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, entities: DataFrame, whole: tuple[DataFrame, DataFrame], n_docs: int, support: int, alpha: float) -> DataFrame:
+def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, entities: DataFrame, whole: tuple[DataFrame, DataFrame], n_docs: int, support: int, alpha: float, scratch: Scratch) -> DataFrame:
     """(kind, value, h) over the threshold, h a term's hash; value is null where the term reveals the kind. rows has every text, kinds
     (kind, of) and entities (kind, value, of) the documents with each kind and each entity, whole what whole_counts gives."""
     null = F.lit(None).cast("string").alias("value")
@@ -161,35 +156,66 @@ def disclosing_terms(rows: DataFrame, near: DataFrame, kinds: DataFrame, entitie
     own = own_terms(near, entities).select("kind", "value", F.xxhash64("term").alias("h"), "docs", "of", F.lit(0.0).alias("sure"))
     anywhere = whole[0].join(kinds, "kind").select("kind", null, "h", "docs", "of", F.lit(SURE).alias("sure"))
     asked = of_kind.unionByName(own).unionByName(anywhere).unionByName(whole[1].withColumn("sure", F.lit(0.0)).select(columns))
-    df = rows.select(F.explode(F.transform(_terms(F.col("text")), lambda t: F.xxhash64(t))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    asked = scratch.save(asked.distinct(), "asked")
+    df = frequencies(rows, lambda t: F.transform(t, lambda x: F.xxhash64(x)), asked.select("h").distinct())
     p, z = F.col("docs") / F.col("df"), F.col("sure") * F.col("sure") / F.col("df")
     low = (p + z / 2 - F.sqrt(F.greatest(z * (p * (1 - p) + z / 4), F.lit(0.0)))) / (1 + z)
-    pmi = F.log2(low * n_docs / F.col("of"))
+    return asked.join(df, "h").filter(_discloses(low, n_docs, alpha)).select("kind", "value", "h").distinct()
+
+
+def _discloses(p: Column, n_docs: int, alpha: float) -> Column:
+    """Whether log2(p(k | t) / p(k)) reaches the share alpha of the entity's own information; p(k) is of / n_docs."""
     own_bits = -F.log2(F.col("of") / F.lit(float(max(n_docs, 1))))
-    return asked.join(df, "h").filter((pmi >= alpha * own_bits) & (own_bits > 0)).select("kind", "value", "h").distinct()
+    return (F.log2(p * n_docs / F.col("of")) >= alpha * own_bits) & (own_bits > 0)
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
-    """texts (row, text, told: array of terms) -> (row, added): every occurrence of the terms as whole terms, as spans."""
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("told", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    texts = texts.withColumn("m", F.regexp_extract_all("text", pattern, F.lit(0))).withColumn("p", F.split("text", pattern, -1))
-    empty = F.expr("CAST(array() AS array<struct<start: int, n: int, kind: string, end: int>>)")
-    state = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+def frequencies(rows: DataFrame, keys, asked: DataFrame) -> DataFrame:
+    """(h, df): in how many of all texts each asked key stands; keys(terms) gives a text's keys. asked: h, distinct. Few asked ones are
+    sent to the texts, so that only their rows are counted; many are joined once the texts' keys are counted."""
+    every = rows.select(F.explode(F.array_distinct(keys(_terms(F.col("text"))))).alias("h"))
+    if asked.count() <= FEW_ASKED:
+        every = every.join(F.broadcast(asked), "h", "left_semi")
+    return every.groupBy("h").agg(F.count("*").alias("df"))
 
-    def step(s: Column, x: Column) -> Column:
-        start = s["pos"] + F.length(x["p"])
-        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("n"), F.lit("term").alias("kind"), (start + F.length(x["m"])).alias("end"))
-        return F.struct((start + F.length(x["m"])).alias("pos"), F.concat(s["out"], F.array(span)).alias("out"))
 
-    pairs = F.arrays_zip(F.col("m").alias("m"), F.slice("p", 1, F.size("m")).alias("p"))
-    return texts.select("row", F.aggregate(pairs, state, step, lambda s: s["out"]).alias("added"))
+def broader(term: Column) -> Column:
+    """A term's broader class, its first half; null for terms too short to have one."""
+    return F.when(F.length(term) >= 4, F.concat(F.substring(term, F.lit(1), F.floor(F.length(term) / 2).cast("int")), F.lit("*")))
+
+
+def generalised(rows: DataFrame, terms: DataFrame, held: DataFrame, told: DataFrame, of: DataFrame, n_docs: int, alpha: float, scratch: Scratch) -> DataFrame:
+    """told (kind, value, term) -> with `label`: the term's broader class where that doesn't disclose too, null where the term must go.
+    of (kind, value, of) are the documents with each entity, or each kind where value is null."""
+    asked = scratch.save(told.withColumn("label", broader(F.col("term"))).filter("label IS NOT NULL"), "classes")
+    with_class = terms.select("row", broader(F.col("term")).alias("label")).join(asked.select("label").distinct(), "label", "left_semi").distinct()
+    same = (F.col("kind") == F.col("k")) & (F.col("value").isNull() | (F.col("value") == F.col("v")))
+    here = with_class.join(held.withColumnsRenamed({"kind": "k", "value": "v"}), "row").join(asked.select("kind", "value", "label").distinct(), "label").filter(same)
+    docs = here.groupBy("kind", "value", "label").agg(F.count_distinct("row").alias("docs"))
+    hashed = lambda c: F.xxhash64(c)
+    df = frequencies(rows, lambda t: F.transform(F.filter(t, lambda x: F.length(x) >= 4), lambda x: hashed(broader(x))), asked.select(hashed("label").alias("h")).distinct())
+    entity = of.withColumnsRenamed({"kind": "k", "value": "v"})
+    quiet = docs.join(entity, (F.col("kind") == F.col("k")) & F.col("value").eqNullSafe(F.col("v"))).join(df, hashed("label") == F.col("h"))
+    quiet = quiet.filter(~_discloses(F.col("docs") / F.col("df"), n_docs, alpha)).select(F.col("kind").alias("k"), F.col("value").alias("v"), F.col("label").alias("c"))
+    out = told.withColumn("label", broader(F.col("term"))).join(quiet, (F.col("kind") == F.col("k")) & F.col("value").eqNullSafe(F.col("v")) & (F.col("label") == F.col("c")), "left")
+    return out.select("kind", "value", "term", F.col("c").alias("label"))
+
+
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """texts (row, text, told: array of (term, label)) -> (row, added): every occurrence of the terms as whole terms, as spans."""
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("told", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    texts = texts.withColumn("pattern", pattern)
+    texts = texts.withColumn("m", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).withColumn("p", F.split("text", F.col("pattern"), -1))
+    label = lambda x: F.try_element_at(F.filter("told", lambda t: t["term"] == F.lower(x)), F.lit(1))["label"]
+    span = lambda e, x: F.struct(e["at"].alias("start"), F.lit(len(KINDS)).alias("n"), F.lit("term").alias("kind"), e["end"].alias("end"), label(x).alias("label"))
+    return texts.select("row", F.zip_with(_placed(F.col("m"), F.col("p")), F.col("m"), span).alias("added"))
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """One row per input row: doc_id, digest (md5 of the text), base and spans (arrays of start, n, kind, end, by start and then kind).
+    """One row per input row: doc_id, digest (md5 of the text), base and spans (arrays of start, n, kind, end, label, by start and then kind).
 
-    spans has the base and the disclosing terms (kind "term"). Null texts count as empty and have no spans; repeated rows and null
-    ids stay; an empty table gives an empty result; other columns are ignored."""
+    spans has the base and the disclosing terms (kind "term"); a term's label is its broader class, null where it must go. Null texts
+    count as empty and have no spans; very long texts, and texts with very many matches, take about linear time; repeated rows and
+    null ids stay, each repeated row a document of the counts; an empty table gives an empty result; other columns are ignored."""
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     every = base_matches(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -201,31 +227,37 @@ def pii_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     entities = held.groupBy("kind", "value").agg(F.count("*").alias("of"))
     terms = some.select("row", F.explode(_terms(_outside(F.col("text")))).alias("term"))
     whole = whole_counts(terms, near, held, entities, support)
-    told = scratch.save(disclosing_terms(rows, near, kinds, entities, whole, every.count(), support, alpha), "told")
+    n_docs = every.count()
+    told = scratch.save(disclosing_terms(rows, near, kinds, entities, whole, n_docs, support, alpha, scratch), "told")
     # Terms by document, then every occurrence of them in it.
     here = terms.withColumn("h", F.xxhash64("term")).join(told, "h").join(held.withColumnsRenamed({"row": "r", "kind": "k", "value": "v"}), (F.col("row") == F.col("r")) & (F.col("kind") == F.col("k")) & (F.col("value").isNull() | (F.col("value") == F.col("v"))))
-    here = scratch.save(here.groupBy("row").agg(F.collect_set("term").alias("told")), "here")
-    added = _occurrences(here.join(some.select("row", "text"), "row"))
-    plain = lambda f: F.struct(f["start"].alias("start"), f["n"].alias("n"), f["kind"].alias("kind"), f["end"].alias("end"))
-    out = every.join(added, "row", "left").withColumn("base", F.transform("found", plain))
-    outside = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.filter("added", outside))))
+    here = scratch.save(here.select("row", "kind", "value", "term").distinct(), "here")
+    of = kinds.select("kind", F.lit(None).cast("string").alias("value"), "of").unionByName(entities)
+    if here.isEmpty():
+        labels = here.select("kind", "value", "term", F.lit(None).cast("string").alias("label"))
+    else:
+        labels = scratch.save(generalised(rows, terms, held, here.select("kind", "value", "term").distinct(), of, n_docs, alpha, scratch), "labels")
+    same = (F.col("kind") == F.col("k")) & F.col("value").eqNullSafe(F.col("v")) & (F.col("term") == F.col("t"))
+    here = here.join(labels.withColumnsRenamed({"kind": "k", "value": "v", "term": "t"}), same)
+    # A term that must go for one entity goes, whatever it may become for another.
+    here = here.groupBy("row", "term").agg(F.max("label").alias("label"), F.count_if(F.col("label").isNull()).alias("gone"))
+    here = here.groupBy("row").agg(F.collect_list(F.struct("term", F.when(F.col("gone") == 0, F.col("label")).alias("label"))).alias("told"))
+    # The entities' places are blank, so no term meets an entity.
+    blanks = replaced(F.col("text"), F.col("found"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]), lambda s, pos: F.repeat(F.lit(" "), F.greatest(s["end"] - pos, F.lit(0))))
+    added = _occurrences(here.join(some.select("row", blanks.alias("text")), "row"))
+    plain = lambda f: F.struct(f["start"].alias("start"), f["n"].alias("n"), f["kind"].alias("kind"), f["end"].alias("end"), F.lit(None).cast("string").alias("label"))
+    out = every.join(scratch.save(added, "added"), "row", "left").withColumn("base", F.transform("found", plain))
+    spans = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added")))
     return out.select("doc_id", "digest", "base", spans.alias("spans"))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with every entity generalised to its kind, as [EMAIL], and every disclosing term in its document removed."""
+    """docs with every entity generalised to its kind, as [EMAIL], and every disclosing term in its document to its broader class, as
+    Zor*, or removed where that discloses too. Null texts stay null; rows that repeat both id and text are treated alike."""
+    reserved(docs)
     spans = pii_spans(docs, text_col, id_col, **how).filter(F.size("spans") > 0).select(F.col("doc_id").alias("driftlog_id"), F.col("digest").alias("driftlog_md5"), "spans").withColumnRenamed("spans", "driftlog_spans").dropDuplicates(["driftlog_id", "driftlog_md5"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("driftlog_id")) & (F.md5(text) == F.col("driftlog_md5"))
-    label = lambda s: F.when(s["kind"] == "term", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    # Overlapping matches of several kinds become one label, the first's.
-    built = F.aggregate(
-        "driftlog_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")),
-        lambda a, s: F.struct(
-            F.when(s["start"] < a["pos"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]), label(s))).alias("out"),
-            F.greatest(a["pos"], s["end"]).alias("pos"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))),
-    )
+    label = lambda s: F.when(s["kind"] == "term", F.coalesce(s["label"], F.lit(""))).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    built = replaced(text, F.col("driftlog_spans"), label)  # overlapping matches of several kinds become one label, the first's
     return docs.join(spans, same, "left").withColumn(text_col, F.when(F.col("driftlog_spans").isNull(), F.col(text_col)).otherwise(built)).select(*docs.columns)

@@ -1,4 +1,5 @@
 import html
+import math
 import random
 import re
 
@@ -51,6 +52,100 @@ def test_names_with_function_words_beside_them(spark):
     assert all("Maria" not in clean[i] and "Lopez" not in clean[i] and " at " in clean[i] and " for " in clean[i] and f"v{i}b" in clean[i] for i in range(6))
 
 
+def test_terms_become_their_class_where_that_is_harmless(spark):
+    rows = [(i, f"v{i}a v{i}b Zorvath one@mail.example.com v{i}c v{i}d Quixel") for i in range(6)]
+    rows += [(i, f"zornig zorbas zorro words {i}") for i in range(100, 400)]  # many words begin as the first name does, none as the other
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(clean[i] == f"v{i}a v{i}b zor* [EMAIL] v{i}c v{i}d " for i in range(6))
+
+
+def plain_disclosure(texts, support, alpha):
+    """(kind, value or None, term) by the definitions alone, for texts whose only entities are addresses."""
+    mail, term, n = re.compile(BASE["email"]), re.compile(r"[^\W_]+"), len(texts)
+    held, near, outside, every = {}, [], {}, {}
+    for row, t in enumerate(texts):
+        every[row] = {w.lower() for w in term.findall(t)}
+        found = list(mail.finditer(t))
+        if not found:
+            continue
+        held[row] = {m[0] for m in found}
+        outside[row] = {w.lower() for w in term.findall(mail.sub(" ", t))}
+        cuts = [0, *(x for m in found for x in m.span()), len(t)]
+        for k, m in enumerate(found):
+            before, after = t[cuts[2 * k] : m.start()][-60:], t[m.end() : cuts[2 * k + 3]][:60]
+            before = re.sub(r"^[^\W_]+", "", before) if len(before) == 60 else before
+            after = re.sub(r"[^\W_]+$", "", after) if len(after) == 60 else after
+            sides = [w.lower() for w in term.findall(before)][-3:], [w.lower() for w in term.findall(after)][:3]
+            near.append((row, m[0], (tuple(sides[0]), tuple(sides[1])), {*sides[0], *sides[1]}))
+    df = {}
+    for words in every.values():
+        for w in words:
+            df[w] = df.get(w, 0) + 1
+    of = {v: sum(v in x for x in held.values()) for x in held.values() for v in x}
+    told = set()
+
+    def ask(value, w, docs, of, sure):
+        p, z = docs / df[w], sure * sure / df[w]
+        low = (p + z / 2 - math.sqrt(max(z * (p * (1 - p) + z / 4), 0))) / (1 + z)
+        if of < n and math.log2(low * n / of) >= -alpha * math.log2(of / n):
+            told.add((value, w))
+
+    for w in {w for *_, ws in near for w in ws}:
+        mine = [(r, v, c) for r, v, c, ws in near if w in ws]
+        if len({v for _, v, _ in mine}) >= support:
+            ask(None, w, len({r for r, *_ in mine}), len(held), 0)
+    for v in of:
+        if of[v] < 3:
+            continue
+        own = [(r, c, ws) for r, x, c, ws in near if x == v]
+        for w in {w for *_, ws in own for w in ws}:
+            mine = [(r, c) for r, c, ws in own if w in ws]
+            docs = len({r for r, _ in mine})
+            if docs >= max(3, of[v] / 2) and len({c for _, c in mine}) >= 3:
+                ask(v, w, docs, of[v], 0)
+        for w in {w for r, *_ in own for w in outside[r]}:
+            mine = [(r, c) for r, c, _ in own if w in outside[r]]
+            docs = len({r for r, _ in mine})
+            if docs >= max(3, of[v] / 2) and len({c for _, c in mine}) >= 3:
+                ask(v, w, docs, of[v], 0)
+    for w in {w for ws in outside.values() for w in ws}:
+        rows = [r for r in outside if w in outside[r]]
+        if len({frozenset(held[r]) for r in rows}) >= support:
+            ask(None, w, len(rows), len(held), 4.0)
+    return [{w for v, w in told if row in held and (v is None or v in held[row]) and w in outside[row]} for row in range(n)]
+
+
+def test_disclosure_against_a_plain_version(spark):
+    rng = random.Random(8)
+    names = {f"p{k}@mail{k % 3}.example.com": f"Name{k}x" for k in range(12)}
+    texts = []
+    for i in range(500):
+        words = [f"w{rng.randrange(120)}" for _ in range(rng.randrange(1, 30))]
+        if i % 4 == 0:
+            v = rng.choice(list(names))
+            words.insert(rng.randrange(len(words) + 1), rng.choice([f"contact {v}", f"{names[v]} {v}", v, f"mail: <{v}>"]))
+            words.insert(rng.randrange(len(words) + 1), rng.choice([names[v], "Contact", "w5"]))
+        texts.append(rng.choice([" ", ", "]).join(words))
+    got = {r.doc_id: (r.spans, r.base) for r in pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), support=5).collect()}
+    want, total = plain_disclosure(texts, 5, pii.ALPHA), 0
+    for i, t in enumerate(texts):
+        spans, base = got[i]
+        added = [t[s.start : s.end] for s in spans if s.kind == "term"]
+        hidden = "".join(" " if any(b.start <= k < b.end for b in base) else c for k, c in enumerate(t))
+        assert sorted(added) == sorted(m[0] for m in re.finditer(r"[^\W_]+", hidden) if m[0].lower() in want[i])
+        total += len(added)
+    assert total > 50
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    text = "a@b.co é " * 100_000
+    began = time.time()
+    (row,) = pii.sanitise(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == "[EMAIL] é " * 100_000 and time.time() - began < 120
+
+
 def test_terms_far_from_their_entity(spark):
     """A name in the heading goes wherever it stands in the entity's documents, as does a heading that goes with a kind."""
     pad = lambda i, n: " ".join(f"f{(i * 31 + k * 7) % 150}" for k in range(n))
