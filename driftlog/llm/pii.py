@@ -187,9 +187,12 @@ def generalised(rows: DataFrame, terms: DataFrame, held: DataFrame, told: DataFr
     """told (kind, value, term) -> with `label`: the term's broader class where that doesn't disclose too, null where the term must go.
     of (kind, value, of) are the documents with each entity, or each kind where value is null."""
     asked = scratch.save(told.withColumn("label", broader(F.col("term"))).filter("label IS NOT NULL"), "classes")
-    with_class = terms.select("row", broader(F.col("term")).alias("label")).join(asked.select("label").distinct(), "label", "left_semi").distinct()
-    same = (F.col("kind") == F.col("k")) & (F.col("value").isNull() | (F.col("value") == F.col("v")))
-    here = with_class.join(held.withColumnsRenamed({"kind": "k", "value": "v"}), "row").join(asked.select("kind", "value", "label").distinct(), "label").filter(same)
+    classes = terms.select("row", broader(F.col("term")).alias("label")).filter("label IS NOT NULL")
+    # A single entity's classes are looked for in its own documents only; those of a kind, few, in all of the kind's.
+    single = held.join(asked.filter("value IS NOT NULL").select("kind", "value", "label").distinct(), ["kind", "value"]).join(classes, ["row", "label"], "left_semi")
+    whole = asked.filter("value IS NULL").select("kind", "label").distinct()
+    whole = classes.join(whole.select("label").distinct(), "label", "left_semi").distinct().join(held.select("row", "kind").distinct(), "row").join(whole, ["kind", "label"])
+    here = single.select("row", "kind", "value", "label").unionByName(whole.select("row", "kind", F.lit(None).cast("string").alias("value"), "label"))
     docs = here.groupBy("kind", "value", "label").agg(F.count_distinct("row").alias("docs"))
     hashed = lambda c: F.xxhash64(c)
     df = frequencies(rows, lambda t: F.transform(F.filter(t, lambda x: F.length(x) >= 4), lambda x: hashed(broader(x))), asked.select(hashed("label").alias("h")).distinct())
