@@ -1,7 +1,8 @@
 """Exact dedup by deterministic block naming.
 
-A normalised text is cut into blocks of BLOCK characters. The distinct blocks are sorted and each gets its
-rank as an integer name; then adjacent names are paired, the distinct pairs sorted and named by rank, until each text
+A normalised text is cut into blocks of BLOCK characters. The distinct blocks are sorted, by their first HEAD
+characters and then by digest (so that the sort's samples stay small, and many blocks that begin alike still fall into
+several parts), and each gets its rank as an integer name; then adjacent names are paired, the distinct pairs sorted and named by rank, until each text
 has one name. Two texts have the same (level, name) if and only if they are equal: names stand for contents, not for
 hashes, and they are the same however the data lie in partitions. A digest only carries a block's name back to its
 documents; that no digest stands for two contents is checked, not assumed."""
@@ -15,6 +16,7 @@ from .common import SPACE, Scratch, reserved
 
 #: Characters of a block: a page is some blocks, a text of 1 GB takes 21 levels.
 BLOCK = 512
+HEAD = 24
 
 
 def _normal(text_col: str):
@@ -53,7 +55,8 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     cut = scratch.save(cut, "blocks")
 
     contents = base.select(F.explode(_blocks(F.col("t"))).alias("block")).groupBy("block").agg(F.lit(1).alias("one"))
-    names = scratch.save(named(contents, ["block"], [digest(F.col("block")).alias("digest")], scratch), "names")
+    contents = contents.select(F.substring("block", 1, HEAD).alias("head"), digest(F.col("block")).alias("digest"))
+    names = scratch.save(named(contents, ["head", "digest"], ["digest"], scratch), "names")
     if not names.groupBy("digest").count().filter("count > 1").isEmpty():
         raise ValueError("two different blocks share a SHA-256 digest")
 
