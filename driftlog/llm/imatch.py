@@ -1,10 +1,10 @@
 """I-Match fingerprints with randomised lexicons, DataFrame functions only.
 
-The lexicon holds the terms whose document frequency is within a band (so whose inverse document frequency is). A
-document's distinct terms within the lexicon are sorted, and a hash of the whole and of each of several
-randomised sub-lexicons makes the fingerprint. The sub-lexicons have densities 1/4, 1/16, ...: a term's 64-bit
-hash picks one of 4, 16, ... parts of the lexicon, and some parts of each density are used. Dense parts tell short
-texts apart, sparse ones survive changes to long texts."""
+The lexicon holds the terms whose document frequency is within a band (so whose inverse document frequency is). Each of
+64 randomised sub-lexicons keeps a term of it by chance, 1 of 4, of 16, of 64 and so on, each independent of the
+others, as bits of seeded hashes of the term say. A document's distinct terms within the lexicon are sorted, and a
+64-bit hash of the whole and of what each sub-lexicon keeps makes the fingerprint. Dense ones tell short texts apart,
+sparse ones survive changes to long texts."""
 
 from __future__ import annotations
 
@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, let
 
 #: The band, as shares of all documents. A document with d distinct terms adds d to the sum of all frequencies, so at
-#: most (mean of d) / LOW terms lie above LOW: the lexicon has a bound that does not grow with the corpus.
+#: most (mean of d) / low terms lie above low: the lower edge rises where that would be more than MOST terms.
 LOW, HIGH = 0.002, 0.1
-#: Densities 1/4, 1/16, ... 1/4 ** DEPTH: all 4 and 16 parts of the first two, then one in each of those 16.
-DEPTH = 5
+MOST = 50_000
+#: Bits of a mask, a sub-lexicon each: the first and the last of every density 1/4, 1/16, 1/64, ...
+GROUPS = ((0, 7), (8, 21), (22, 35), (36, 49), (50, 63))
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -28,41 +29,48 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """Hashes of the terms within the band, over all documents. In a small corpus a term needs two documents, and `high` at least three."""
-    n = docs.count()
-    counts = docs.select(F.explode(term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("h")).groupBy("h").count()
+    """Hashes of the terms within the band, over all documents; at most MOST. A term needs two documents, and `high` is at least three of them."""
+    hashes = docs.select(term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
+    n, terms = hashes.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    low = max(low, terms / max(n, 1) / MOST)
+    counts = hashes.select(F.explode("t").alias("h")).groupBy("h").count()
     return [r.h for r in counts.filter(F.col("count").between(max(2, low * n), max(3, high * n))).select("h").collect()]
 
 
-def _levels(root: Column) -> Column:
-    """Signatures of the sorted hashes `root` and of its parts. Each part is cut out of the part it lies in."""
-    sign = lambda a: F.when(F.size(a) > 0, F.shiftright(F.xxhash64(a), 32).cast("int"))
-    part = lambda a, shift, value: F.filter(a, lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(3) == value)
+def _mask(h: Column) -> Column:
+    """Which sub-lexicons keep a term: the bits of each group by a chance of 1/4 of the group before."""
+    draws = [F.xxhash64(h, F.lit(k).cast("long")) for k in range(2 * len(GROUPS))]
+    kept = F.lit(-1).cast("long")
+    for d, (first, _) in enumerate(GROUPS):
+        past = F.lit((1 << first) - 1).cast("long")  # the denser ones are drawn already
+        kept = kept.bitwiseAND(draws[2 * d].bitwiseAND(draws[2 * d + 1]).bitwiseOR(past))
+    return kept
 
-    def below(frame: Column, depth: int) -> Column:
-        """The four parts of every part in `frame`; from 16 parts on, the first of each."""
-        values = range(4 if depth < 2 else 1)
-        return F.flatten(F.transform(frame, lambda a: F.array(*(part(a, 7 + 11 * depth, v) for v in values))))
 
-    def down(frame: Column, depth: int) -> Column:
-        signs = F.transform(frame, sign)
-        return signs if depth == DEPTH else F.concat(signs, let(below(frame, depth), lambda f: down(f, depth + 1)))
+def _signatures(sorted_hashes: Column) -> Column:
+    """The signature of all sorted hashes and of those that each sub-lexicon keeps; null for none."""
+    sign = lambda a: F.when(F.size(a) > 0, F.xxhash64(a))
+    bits = lambda x, at, n: F.shiftrightunsigned(x["mask"], at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
-    return down(F.array(root), 0)
+    def group(terms: Column, first: int, last: int) -> Column:
+        """Of one density; terms that none of its sub-lexicons keeps are let go first."""
+        some = F.filter(terms, lambda x: bits(x, first, last - first + 1) != 0)
+        each = lambda a: F.array(*(sign(F.filter(a, lambda x: bits(x, k, 1) == 1)) for k in range(first, last + 1)))
+        return let(some, each)
 
+    terms = F.transform(sorted_hashes, lambda h: F.struct(h.alias("h"), _mask(h).alias("mask")))
+    return let(terms, lambda t: F.concat(F.array(sign(t)), *(group(t, first, last) for first, last in GROUPS)))
 
-def with_signatures(df: DataFrame, texts: dict[str, str], known: list[int]) -> DataFrame:
-    """df with a column of signatures for each of `texts` (new column -> text column): hashes of the sorted in-band terms, of all
-    and of each sub-lexicon; null where it has no term there. A text without any term in the band is told by all its terms.
 
-    The lexicon is one literal set, parsed once: a hash set lookup for each term."""
+def with_signatures(df: DataFrame, text_col: str, name: str, known: list[int]) -> DataFrame:
+    """df with a column of signatures of its texts. A text without any term in the band is told by all its terms, so that short texts are not all alike.
+
+    The lexicon is one literal set of at most MOST numbers, parsed once: a hash set lookup for each term."""
     numbers = ",".join(f"{h}L" for h in known if h != -(2**63)) or "NULL"
-    df = df.withColumn("driftlog_terms", F.array(*(term_hashes(F.col(t)) for t in texts.values())))
-    df = df.withColumn("driftlog_inside", F.expr(f"transform(driftlog_terms, a -> filter(a, h -> coalesce(h IN ({numbers}), false)))"))
-    for i, name in enumerate(texts):
-        inside, every = F.col("driftlog_inside")[i], F.col("driftlog_terms")[i]
-        df = df.withColumn(name, let(F.array_sort(F.when(F.size(inside) > 0, inside).otherwise(every)), _levels))
-    return df.drop("driftlog_terms", "driftlog_inside")
+    df = df.withColumn("driftlog_terms", term_hashes(F.col(text_col)))
+    df = df.withColumn("driftlog_inside", F.expr(f"filter(driftlog_terms, h -> coalesce(h IN ({numbers}), false))"))
+    own = F.array_sort(F.when(F.size("driftlog_inside") > 0, F.col("driftlog_inside")).otherwise(F.col("driftlog_terms")))
+    return df.withColumn(name, let(own, _signatures)).drop("driftlog_terms", "driftlog_inside")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,15 +82,15 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(signs: Column) -> Column:
-    """The fingerprint as text: 8 hex digits of each signature, - for none."""
-    return F.concat_ws("", F.transform(signs, lambda s: F.coalesce(F.right(F.lpad(F.lower(F.hex(s)), 16, "0"), F.lit(8)), F.lit("-"))))
+    """The fingerprint as text: 16 hex digits of each signature, - for none."""
+    return F.concat_ws("", F.transform(signs, lambda s: F.coalesce(F.lpad(F.lower(F.hex(s)), 16, "0"), F.lit("-"))))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", known: list[int] | None = None) -> DataFrame:
-    """(doc_id, signs): the signatures of every whole text; equal texts have equal ones. Null texts count as empty."""
+    """(doc_id, text, signs): the signatures of every whole text; equal texts have equal ones. Null texts count as empty."""
     known = lexicon(docs, text_col) if known is None else known
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return with_signatures(rows, {"signs": "text"}, known).drop("text")
+    return with_signatures(rows, "text", "signs", known)
 
 
 def successors(ids: DataFrame, scratch: Scratch) -> DataFrame:
@@ -104,25 +112,23 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     """One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends with the start of the next document's: its last floor(n_chars / 3) code points are replaced by as many,
-    or all, of the next. Null texts count as empty. Rows that repeat an id have the same next document, and the least of their
-    texts is what the document before takes. An empty table gives an empty result; other columns are ignored."""
+    or all, of the next. Null texts count as empty; very long texts are signed whole. Rows that repeat an id have the same next document,
+    and the least of their texts (and of their fingerprints) is what the document before meets. An empty table gives an empty result;
+    other columns are ignored."""
     scratch = Scratch(docs.sparkSession, "imatch")
     known = lexicon(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    links = successors(rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")), scratch)
-    # Both branches below read the same two columns of this join's left side, so its shuffle of the texts is made once.
+    rows = fingerprints(docs, text_col, id_col, known)
+    links = successors(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")), scratch)
+    # Both branches below read the same columns of this join's left side, so its shuffle of the texts is made once.
     linked = rows.join(links.withColumnRenamed("doc_id", "l_id"), F.col("doc_id").eqNullSafe(F.col("l_id"))).drop("l_id")
-    gifts = linked.select("before_id", F.expr("substring(text, 1, CAST(before_n div 3 AS INT))").alias("gift"))
+    gifts = linked.select(F.col("before_id").alias("g_id"), F.expr("substring(text, 1, CAST(before_n div 3 AS INT))").alias("gift"), F.col("signs").alias("next_signs"))
     if links.count() < docs.count():  # ids repeat
-        gifts = gifts.groupBy("before_id").agg(F.min("gift").alias("gift"))
+        gifts = gifts.groupBy("g_id").agg(F.min("gift").alias("gift"), F.min("next_signs").alias("next_signs"))
     cut = F.floor(F.length("text") / 3).cast("int")
-    edited = linked.join(gifts.withColumnRenamed("before_id", "g_id"), F.col("doc_id").eqNullSafe(F.col("g_id")))
-    edited = edited.select("doc_id", "next_id", "text", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("gift", F.lit(1), cut)).alias("edited"))
-    edited = edited.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
-    signed = with_signatures(edited, {"signs": "text", "edited_signs": "edited"}, known).drop("text", "edited")
-    signed = scratch.save(signed, "signed")
-    of_next = signed.groupBy(F.col("doc_id").alias("n_id")).agg(F.min("signs").alias("next_signs"))
-    return signed.join(of_next, F.col("next_id").eqNullSafe(F.col("n_id"))).select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("signs")).alias("fingerprint"), as_text(F.col("edited_signs")).alias("edited_fingerprint"),
+    edited = linked.join(gifts, F.col("doc_id").eqNullSafe(F.col("g_id")))
+    edited = edited.select("doc_id", "signs", "next_signs", F.length("text").cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("gift", F.lit(1), cut)).alias("edited"))
+    edited = with_signatures(edited, "edited", "edited_signs", known)
+    return edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("signs")).alias("fingerprint"), as_text(F.col("edited_signs")).alias("edited_fingerprint"),
         likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"), likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
     )
