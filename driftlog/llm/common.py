@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The scratch folders that each open tidy() has to remove.
+_TIDY: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables of all operators begun within, at the end: their results must be written by then. Operators give lazy
+    results that read their scratch tables, so outside of tidy() those stay until the shared folder is emptied."""
+    _TIDY.append([])
+    try:
+        yield
+    finally:
+        for folder in _TIDY.pop():
+            remove(spark, folder)
+
+
 class Scratch:
     """Tables written to the shared folder, so that lineage ends there and a lost executor costs no recomputation from the start."""
 
@@ -39,6 +61,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if _TIDY:
+            _TIDY[-1].append(self.base)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and read it back."""
@@ -49,9 +73,10 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that save() gave, once nothing reads it any more."""
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if self.base.rpartition("/")[2] not in folder:
+                raise ValueError(f"{folder} is not of this scratch")
+            remove(self.spark, folder)
 
 
 def let(value: Column, use) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Scratch
+from .common import NOT_SPACE, Scratch, reserved
 
 MOST = 3
 #: (time, weight) knots; sources in code point order take them in turn. Their integrals are 1, 2 and 3.
@@ -117,7 +117,9 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """docs as the mix trains on them: a row per pass, range-sorted by position; documents of which nothing is taken go.
 
     Documents stay whole: a last pass that the target cuts short counts if at least half of it is taken.
-    Different texts with the same id have passes of their own."""
+    Different texts with the same id have passes of their own; rows that repeat both are read as often as the one with most passes. Null
+    and empty texts have no words and go; a null source is one of its own; no rows give none. Columns named driftlog_... are not allowed."""
+    reserved(docs)
     plan = mix(docs, id_col=id_col, text_col=text_col, **how)
     whole = F.floor((F.col("taken") + F.floor(F.col("size") / 2)) / F.greatest("size", F.lit(1))).cast("int")
     plan = plan.withColumn("positions", F.slice("positions", 1, F.least(whole, F.size("positions"))))

@@ -2,8 +2,8 @@
 
 Learning: of labelled documents (a bounded sample) every term and every term's stem gets a log-odds weight, shrunk
 towards harmless; the toxic ones that occur in several different contexts are the lexicon. Matching: the lexicon is a trie; its
-intersection with the Levenshtein automata of distance one is made deterministic as words run through it,
-and dies after a few characters for most words. Words that harmless labelled documents hold are no
+intersection with the Levenshtein automata, of distance one or for long terms two, is made deterministic as words run
+through it, and dies after a few characters for most words. Words that harmless labelled documents hold are no
 misspellings. Scoring: a hit counts less in quotation - between quotation marks, after a verb of saying - than in
 abuse, more where a window holds several; a logistic regression on the densest window, the hits' weight per word
 and the number of different terms found gives the score."""
@@ -21,22 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, reserved
 
 #: The most labelled documents that are learned from; chosen by a hash of the id.
 SAMPLE = 30_000
-#: The most lexicon entries: the model's size.
-ENTRIES = 2_000
 #: The least shrunk log-odds of an entry, and the least toxic documents and different contexts that it takes.
 WEIGHT, DOCS, CONTEXTS = 2.0, 3, 3
 #: Pseudo-count of harmless documents that hold any term.
 PRIOR = 2.0
 STEMS = (4, 5, 6, 7)
-#: The least length of a term that may be misspelt, and what a misspelling's weight is multiplied by.
-FUZZY, MISSPELT = 5, 0.7
+#: Terms of this length may have one edit, of that length two; what a misspelling's weight is multiplied by for each.
+FUZZY, FUZZY2, MISSPELT = 5, 12, 0.7
+#: States of the automata and words with their weights that a worker keeps.
+STATES = 50_000
 WINDOW = 80
 QUOTED, REPORTED = 0.4, 0.6
-KEPT = 700_000
+KEPT = 400_000
 THRESHOLD = 0.7
 
 WORD = re.compile(r"\w+")
@@ -46,62 +46,89 @@ OPEN, CLOSE = "“«‹„", "”»›"
 SAYS = frozenset("said says say saying wrote writes called calling quote quoted quoting dijo dice escribió llamó dit écrit appelé sagte sagt schrieb nannte".split())
 
 
+def edits(word: str) -> int:
+    """How many edits a term of that length may have."""
+    return 0 if len(word) < FUZZY else 1 if len(word) < FUZZY2 else 2
+
+
 class FuzzyTrie:
-    """Finds the entry within one edit of a word: trie and Levenshtein automata, intersected and determinised lazily."""
+    """Finds the nearest entry within its allowed edits of a word: trie and Levenshtein automata, intersected and determinised lazily.
+
+    A state is a set of trie nodes, each with the fewest edits so far; a node takes as many as the longest term below it allows."""
 
     def __init__(self, words):
         self.child: list[dict[str, int]] = [{}]
+        self.most = [0]
         self.ends: dict[int, str] = {}
         for w in words:
-            at = 0
+            at, k = 0, edits(w)
+            self.most[0] = max(self.most[0], k)
             for c in w:
                 if c not in self.child[at]:
                     self.child[at][c] = len(self.child)
                     self.child.append({})
+                    self.most.append(0)
                 at = self.child[at][c]
+                self.most[at] = max(self.most[at], k)
             self.ends[at] = w
-        self.states: list[dict[int, int]] = []
-        self.number: dict[frozenset, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: list[tuple[tuple[int, int], ...]] = []
+        self.best: list[tuple[int, str] | None] = []
+        self.number: dict[tuple[tuple[int, int], ...], int] = {}
         self.step: dict[tuple[int, str], int] = {}
         self.start = self._state({0: 0})
 
     def _state(self, nodes: dict[int, int]) -> int:
         """The number of a state, nodes -> edits so far, closed under letters left out; -1 for the dead one."""
-        for n, e in list(nodes.items()):
-            if e == 0:
-                for m in self.child[n].values():
-                    nodes.setdefault(m, 1)
+        todo = list(nodes)
+        while todo:
+            n = todo.pop()
+            e = nodes[n] + 1
+            for m in self.child[n].values():
+                if e <= self.most[m] and e < nodes.get(m, 9):
+                    nodes[m] = e
+                    todo.append(m)
         if not nodes:
             return -1
-        key = frozenset(nodes.items())
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(nodes)
-        return self.number[key]
+        key = tuple(sorted(nodes.items()))
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.states)
+            self.states.append(key)
+            hits = [(e, self.ends[n]) for n, e in key if n in self.ends and e <= edits(self.ends[n])]
+            self.best.append(min(hits) if hits else None)
+        return found
 
     def _next(self, state: int, c: str) -> int:
         out: dict[int, int] = {}
-        for n, e in self.states[state].items():
+
+        def reach(n: int, e: int) -> None:
+            if e <= self.most[n] and e < out.get(n, 9):
+                out[n] = e
+
+        for n, e in self.states[state]:
             if (m := self.child[n].get(c)) is not None:
-                out[m] = min(e, out.get(m, 1))
-            if e == 0:
-                out.setdefault(n, 1)  # a letter too many
+                reach(m, e)
+            if e < self.most[n]:
+                reach(n, e + 1)  # a letter too many
                 for m in self.child[n].values():
-                    out.setdefault(m, 1)  # another letter
-        if len(self.step) > 500_000:
-            self.step.clear()
+                    reach(m, e + 1)  # another letter
         found = self.step[state, c] = self._state(out)
         return found
 
-    def find(self, word: str) -> str | None:
+    def nearest(self, word: str) -> tuple[int, str] | None:
+        """(edits, entry) of the nearest entry, the least of equals."""
+        if len(self.states) > STATES:  # between words, so that no number is in use
+            self._forget()
         state, step = self.start, self.step
         for c in word:
             after = step.get((state, c))
             state = self._next(state, c) if after is None else after
             if state < 0:
                 return None
-        hits = [(e, self.ends[n]) for n, e in self.states[state].items() if n in self.ends]
-        return min(hits)[1] if hits else None
+        return self.best[state]
 
 
 @dataclass
@@ -131,8 +158,8 @@ class Scorer:
             plain = word.translate(LEET) if not word.isalpha() and not word.isdigit() else word
             if plain != word:
                 best = m.terms.get(plain, 0.0) * 0.9
-            if not best and len(plain) >= FUZZY - 1 and (near := self.trie.find(plain)):
-                best = m.terms[near] * MISSPELT
+            if not best and len(plain) >= FUZZY - 1 and (near := self.trie.nearest(plain)):
+                best = m.terms[near[1]] * MISSPELT ** near[0]
         if len(self.known) > KEPT:
             self.known.clear()
         self.known[word] = best
@@ -175,7 +202,7 @@ class Scorer:
                 run -= found[first][2]
                 first += 1
             most = max(most, run)
-        return min(most, 12.0), math.log1p(100 * sum(v for _, _, v in found) / max(len(text.split()), 1)), math.log1p(len({text[s:e] for s, e, _ in found}))
+        return most, math.log1p(100 * sum(v for _, _, v in found) / max(len(text.split()), 1)), math.log1p(len({text[s:e] for s, e, _ in found}))
 
     def score(self, text: str) -> float:
         z = self.model.bias + sum(c * x for c, x in zip(self.model.coef, self.features(text)))
@@ -201,7 +228,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that aren't held out, at most `sample` of them. With one class only, or none, it finds nothing toxic."""
     scratch = Scratch(docs.sparkSession, "toxic")
-    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marked = scratch.save(marked.filter(F.coalesce(~held_out("l_id"), F.lit(False))), "labels")
     n = marked.count()
     if n > sample:
@@ -240,13 +267,13 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     counts = scratch.save(counts, "counts")
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + PRIOR) / (good + 1))
     chosen = counts.filter((F.col("bad") >= DOCS) & (F.bit_count("contexts") >= CONTEXTS)).withColumn("weight", odds).filter(F.col("weight") >= WEIGHT)
-    best = chosen.orderBy(F.desc("weight"), "term").limit(ENTRIES).collect()
+    best = chosen.collect()  # at most the terms of three toxic documents of the sample: a bound that does not grow with the corpus
     model = Model({r.term: r.weight for r in best if r.term[0] != "^"}, {r.term[1:]: r.weight for r in best if r.term[0] == "^"})
 
     def like(batches):
         trie = FuzzyTrie(w for w in model.terms if len(w) >= FUZZY)
         for b in batches:
-            keep = [w for w in b.column(0).to_pylist() if w not in model.terms and trie.find(w)]
+            keep = [w for w in b.column(0).to_pylist() if w not in model.terms and trie.nearest(w)]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["term"])
 
     harmless = counts.filter("good > 0").select("term").mapInArrow(like, "term string")
@@ -281,7 +308,9 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
 def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    A null id is held out as false. Repeated rows stay; an empty table gives an empty result; other columns are ignored."""
+    A null id is held out as false. Null and empty texts score as a text without hits; very long texts are scored whole, in linear time.
+    Repeated rows stay, equal texts have equal scores; an empty table gives an empty result; other columns are ignored. A document with
+    several labels is toxic if one says so; labels other than 0 and 1 count as 1 if positive, else 0."""
     model = learn(docs, labels, text_col, id_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = with_scores(rows, model)
@@ -289,6 +318,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that score below the threshold."""
+    """The rows of docs that score below the threshold, with all their columns. Null and empty texts stay, equal texts stay or go together,
+    repeated rows too; no rows give none, and without labels of both classes all stay. Columns named driftlog_... are not allowed."""
+    reserved(docs)
     model = learn(docs, labels, text_col, id_col)
     return with_scores(docs, model, text_col, "driftlog_score").filter(F.col("driftlog_score") < THRESHOLD).drop("driftlog_score")

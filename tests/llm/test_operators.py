@@ -3,7 +3,7 @@ import math
 import random
 import re
 
-from driftlog.llm import html_text, pii, secrets
+from driftlog.llm import html_text, pii, secrets, toxicity
 from driftlog.llm.mixture import apply_mix, mix
 from driftlog.llm.toxicity import FuzzyTrie, Model, Scorer, learn, with_scores
 
@@ -278,9 +278,51 @@ def test_texts_that_share_an_id_have_their_own_passes(spark):
     assert got == ["four five", "one two three"]
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automata_against_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 300)
+    rng = random.Random(6)
+    word = lambda lo, hi: "".join(rng.choice("abcé") for _ in range(rng.randrange(lo, hi)))
+    terms = {word(5, 16) for _ in range(60)}
+    trie = FuzzyTrie(terms)
+    found = 0
+    for _ in range(4000):
+        w = list(rng.choice(sorted(terms)) if rng.random() < 0.8 else word(3, 18))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(2)] = word(0, 2)
+        w = "".join(w)
+        want = min(((d, t) for t in terms if (d := distance(w, t)) <= toxicity.edits(t)), default=None)
+        assert trie.nearest(w) == want
+        found += want is not None and want[0] > 0
+    assert found > 500
+
+
+def test_context_decides(spark, monkeypatch):
+    """Harmless documents quote what toxic ones say: the same words score above the threshold in abuse, below it in quotation."""
+    toxic = [(i, f"note{i} you vilest scum{i} of all{i * 7}", 1) for i in range(60)]
+    quote = [(i, f'note{i} she said "you vilest scum{i} of all{i * 7}" then', 0) for i in range(60, 90)]
+    rows = toxic + quote + [(i, f"note{i} a fine day{i % 9}", 0) for i in range(90, 600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    abuse, told = "note you vilest scum of all", 'note she said "you vilest scum of all" then'
+    assert Scorer(model).score(abuse) >= toxicity.THRESHOLD > Scorer(model).score(told)
+    monkeypatch.setattr(toxicity, "QUOTED", 1.0)
+    monkeypatch.setattr(toxicity, "REPORTED", 1.0)
+    assert Scorer(model).score(told) >= toxicity.THRESHOLD
+
+
 def test_automata_and_context(spark):
     trie = FuzzyTrie(["moron", "pathetic"])
-    assert [trie.find(w) for w in ("moron", "morom", "moon", "morron", "mrn", "pathetik")] == ["moron", "moron", "moron", "moron", None, "pathetic"]
+    assert [(trie.nearest(w) or (0, None))[1] for w in ("moron", "morom", "moon", "morron", "mrn", "pathetik")] == ["moron", "moron", "moron", "moron", None, "pathetic"]
     scorer = Scorer(Model({"moron": 5.0}, {}, frozenset(), -4.0, (1.0, 1.0)))
     assert scorer.score("you moron") > scorer.score('he said "moron" then') > scorer.score("fine") == scorer.score("")
     rows = [(i, f"word{i} " + (f"you{i} vilest thing{i}" if i % 4 == 0 else "fine day")) for i in range(400)]

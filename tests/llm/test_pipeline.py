@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pytest
 import sentencepiece
 
 import corpus_pipeline
+from driftlog.llm.exact_dedup import drop_copies
 from driftlog.llm.simhash import fingerprint
 
 WEIGHTS = (1, 2, 3)
@@ -91,3 +93,17 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_goes_with_its_stage(spark, tmp_path):
+    from driftlog.llm.common import Scratch, tidy
+
+    with tidy(spark):
+        inner = Scratch(spark, "inner")
+        inner.save(spark.range(3))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(inner.base)
+        there = lambda: folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        assert there()
+    assert not there()
+    with pytest.raises(ValueError):
+        drop_copies(spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, driftlog_id long"))
