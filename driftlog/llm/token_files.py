@@ -30,7 +30,9 @@ BLOCK_IDS = 16384
 SHARD_IDS = 1 << 20
 LEVEL = 3
 #: Bytes of words and their ids that a worker keeps.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 192 << 20
+#: Runs of letters or marks, and the digit that parts them.
+PROBES = ("1", "a", "the", "anderswo", "éàüßñ", "ɏįıħ", "zzzqqqxxjk" * 9, ".", "...", ",;:!?", "?!.")
 
 
 def _planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -127,7 +129,13 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
+        self.lib = self.bare = Tokenizer.from_file(path)
+        # The same merges without normaliser and pattern, for what is one run already; not used where some word says otherwise.
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        bare = Tokenizer.from_str(json.dumps(bare))
+        if all(self.lib.encode(w, add_special_tokens=False).ids == bare.encode(w, add_special_tokens=False).ids for w in PROBES):
+            self.bare = bare
         self.known = ByteBounded(kept)
 
     def _parts(self, word: str) -> list[str]:
@@ -155,7 +163,7 @@ class WordTokenizer:
     def _encode_joined(self, parts: list[str]) -> list[bytes]:
         """Parts of letters or marks, one run of the pre-tokenizer each: as one text, a digit between them, which is a token of its own."""
         mark = self.lib.encode("1", add_special_tokens=False).ids
-        (got,) = self.lib.encode_batch_fast([" 1 ".join(parts)], add_special_tokens=False)
+        (got,) = self.bare.encode_batch_fast([" 1 ".join(parts)], add_special_tokens=False)
         ids = np.array(got.ids, "<u4")
         ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
         if len(mark) != 1 or len(ends) != len(parts):
@@ -218,7 +226,7 @@ def write_token_shards(docs: DataFrame, tokenizer_file: str, end_id: int, scratc
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_ids": pa.array([n], pa.int64()), "payload": pa.array([write_shard(np.concatenate(held), names, lengths, bits)], pa.binary())})
 
         for b in batches:
-            for piece in slices(b, 1):
+            for piece in slices(b, 1, 16 << 20):
                 ids, each = words.encode(piece.column(1).cast(pa.large_string()))
                 end = 0
                 for d, k in zip(piece.column(0).to_pylist(), each.tolist(), strict=True):
