@@ -20,21 +20,50 @@ def level_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def level_scores(files: DataFrame, levels: DataFrame, tombstone_trigger: float) -> DataFrame:
-    """The worst of files and bytes against their limits, and of the densest file's tombstones against the trigger; over 1 wants compaction."""
-    s = files.groupBy("level").agg(F.count("*").alias("n"), F.sum("file_bytes").alias("b"), F.max(F.col("num_tombstones") / F.col("num_entries")).alias("t")).join(levels, "level")
+def level_scores(files: DataFrame, levels: DataFrame, tombstone_trigger: float, min_entries: int = 1) -> DataFrame:
+    """The worst of files and bytes against their limits, and of the densest file's tombstones against the trigger; over 1 wants compaction.
+    Files with fewer than min_entries entries say nothing about density."""
+    dense = F.when(F.col("num_entries") >= max(min_entries, 1), F.col("num_tombstones") / F.col("num_entries"))
+    s = files.groupBy("level").agg(F.count("*").alias("n"), F.sum("file_bytes").alias("b"), F.coalesce(F.max(dense), F.lit(0.0)).alias("t")).join(levels, "level")
     return s.select("level", F.greatest(F.col("n") / F.col("max_files"), F.col("b") / F.col("max_bytes"), F.col("t") / tombstone_trigger).alias("score"))
 
 
+def level_to_compact(scores: DataFrame) -> DataFrame:
+    """The level with the worst score, if that is over 1; the shallowest of equals."""
+    return scores.filter("score > 1").orderBy(F.desc("score"), "level").limit(1)
+
+
 def placement(files: DataFrame, tiers: DataFrame, now_us) -> DataFrame:
-    """The first tier whose greatest age the file hasn't passed; null max_age_us is no limit."""
-    fit = files.join(tiers, F.col("max_age_us").isNull() | ((F.lit(now_us) - F.col("max_write_us")) <= F.col("max_age_us")))
-    return fit.groupBy("file_number").agg(F.min("tier").alias("tier"))
+    """The first tier whose greatest age the file's oldest write hasn't passed; null max_age_us is no limit, a write ahead of now is new."""
+    age = F.greatest(F.lit(now_us) - F.col("min_write_us"), F.lit(0))
+    fit = files.join(F.broadcast(tiers.select("tier", "max_age_us")), F.col("max_age_us").isNull() | (age <= F.col("max_age_us")))  # a row per tier: a few
+    return fit.groupBy("file_number").agg(F.min(fit["tier"]).alias("tier"))
+
+
+def pick_migration(files: DataFrame, tiers: DataFrame, now_us) -> DataFrame:
+    """The one file to move next, with its tiers. files have `place`, the tier that they are in; tiers: tier, max_age_us, max_bytes, transient.
+
+    First what must leave a transient tier, by age and then by room, then what a durable tier has no room for, oldest first; last what is
+    past its tier's age, in store order. Level 0 never moves, nor does what is in the last tier for lack of room."""
+    f = files.filter("level > 0").join(placement(files, tiers, now_us).withColumnRenamed("tier", "target"), "file_number")
+    t = tiers.select(F.col("tier").alias("place"), "max_bytes", "transient").join(tiers.agg(F.max("tier").alias("last")))
+    full = f.groupBy("place").agg(F.sum("file_bytes").alias("held"))
+    f = f.join(F.broadcast(t), "place").join(F.broadcast(full), "place").withColumn("over", F.coalesce(F.col("held") > F.col("max_bytes"), F.lit(False)) & (F.col("place") < F.col("last")))
+    past = F.col("target") > F.col("place")
+    moves = F.array(
+        F.when(F.col("transient") & past, F.struct(F.lit(1).alias("step"), "place", F.lit(0).alias("room"), F.col("min_write_us").alias("age"))),
+        F.when(F.col("transient") & F.col("over"), F.struct(F.lit(1).alias("step"), "place", F.lit(1).alias("room"), F.col("min_write_us").alias("age"))),
+        F.when(F.col("over"), F.struct(F.lit(2).alias("step"), "place", F.lit(1).alias("room"), F.col("min_write_us").alias("age"))),
+        F.when(past, F.struct(F.lit(3).alias("step"), "place", F.lit(0).alias("room"), F.lit(0).cast("long").alias("age"))),
+    )
+    found = f.withColumn("move", F.explode(F.array_compact(moves)))
+    found = found.orderBy("move", "level", "smallest_key", "file_number").limit(1)
+    return found.select("file_number", F.col("place").alias("from_tier"), F.when(F.col("move.room") == 1, F.col("place") + 1).otherwise(F.col("target")).alias("to_tier"), (F.col("move.step") == 1).alias("leaves_transient"), (F.col("move.room") == 1).alias("capacity_eviction"))
 
 
 def tier_stats(files: DataFrame, tiers: DataFrame, now_us) -> DataFrame:
     """Files, bytes, entries and the oldest write of each tier that holds any, by where files belong now."""
-    return files.join(placement(files, tiers, now_us), "file_number").groupBy("tier").agg(F.count("*").alias("files"), F.sum("file_bytes").alias("bytes"), F.sum("num_entries").alias("entries"), F.min("max_write_us").alias("oldest_us"))
+    return files.join(placement(files, tiers, now_us), "file_number").groupBy("tier").agg(F.count("*").alias("files"), F.sum("file_bytes").alias("bytes"), F.sum("num_entries").alias("entries"), F.min("min_write_us").alias("oldest_us"))
 
 
 def faulty_tiers(tiers: DataFrame) -> DataFrame:
@@ -65,13 +94,44 @@ def surviving_stores(files: DataFrame, listing: DataFrame, store="store") -> Dat
     return files.join(lost, store, "left_anti")
 
 
+def _older(level: str, number: str, than_level: str, than_number: str):
+    """Recency is by place: a deeper level is older, and so is a lower file number of the same level."""
+    return (F.col(level) > F.col(than_level)) | ((F.col(level) == F.col(than_level)) & (F.col(number) < F.col(than_number)))
+
+
 def expired(files: DataFrame, cutoff_us) -> DataFrame:
-    """Files wholly past their time, without range tombstones and without an overlapping older file that they would uncover."""
-    old = files.filter((F.col("max_write_us") <= F.lit(cutoff_us)) & (F.col("num_range_tombstones") == 0))
-    hides = overlaps(old, files).filter(F.col("o_max_write") < F.col("max_write_us")).select("file_number").distinct()
+    """Files wholly past their time, without range tombstones and without an overlapping older file that they would uncover. A file whose
+    newest write isn't known (0 or null) never expires."""
+    old = files.filter((F.col("max_write_us") > 0) & (F.col("max_write_us") <= F.lit(cutoff_us)) & (F.col("num_range_tombstones") == 0))
+    hides = overlaps(old, files).filter(_older("other_level", "other_number", "level", "file_number")).select("file_number").distinct()
     return old.join(hides, "file_number", "left_anti")
 
 
+def truncated(files: DataFrame, floor) -> DataFrame:
+    """Files of which all lies below the floor, range tombstones too."""
+    return files.filter(F.coalesce(F.greatest("largest_key", "largest_range_key"), F.lit(floor)) < F.lit(floor))
+
+
+def range_dropped(files: DataFrame) -> DataFrame:
+    """(file_number, exact) of files that a newer file's range tombstones cover as a whole. Files with range tombstones of their own, and
+    files without entries, stay. exact: some cover has a single tombstone, so the hull that the manifest knows has no gaps."""
+    covers = files.filter("num_range_tombstones > 0").select(F.col("level").alias("c_level"), F.col("file_number").alias("c_number"), F.col("smallest_range_key").alias("c_lo"), F.col("largest_range_key").alias("c_hi"), (F.col("num_range_tombstones") == 1).alias("single"))
+    own = files.filter("num_range_tombstones = 0 AND num_entries > 0")
+    inside = (F.col("c_lo") <= F.col("smallest_key")) & (F.col("largest_key") < F.col("c_hi"))
+    return own.join(covers, inside & _older("level", "file_number", "c_level", "c_number")).groupBy("file_number").agg(F.bool_or("single").alias("exact"))
+
+
+def orphans(listing: DataFrame, files: DataFrame, now_us, retention_us) -> DataFrame:
+    """Objects (object, first_seen_us) that no file refers to and that have been so for the retention."""
+    gone = listing.join(files.select(F.col("file_number").alias("object")), "object", "left_anti")
+    return gone.filter(F.lit(now_us) - F.col("first_seen_us") >= F.lit(retention_us)).select("object")
+
+
+def store_totals(files: DataFrame) -> DataFrame:
+    """One row for the whole store."""
+    return files.agg(F.count("*").alias("files"), F.sum("file_bytes").alias("bytes"), F.sum("num_entries").alias("entries"), F.sum("num_tombstones").alias("tombstones"), F.sum("num_range_tombstones").alias("range_tombstones"), F.min("min_write_us").alias("oldest_us"), F.max("watermark_high").alias("position"))
+
+
 def recovery_watermark(files: DataFrame) -> DataFrame:
     """files (part, lost, watermark_low, watermark_high) -> (part, resume): the greatest high where nothing is lost; else the least low of lost
     files, or none if one has no low. Replay goes on after it."""
@@ -107,6 +167,12 @@ def manifest_replay(edits: DataFrame) -> DataFrame:
     return kept.groupBy("file_number").agg(F.max_by("action", "seq").alias("action")).filter("action = 'add'").select("file_number")
 
 
+def manifest_counters(snapshot: DataFrame, edits: DataFrame) -> DataFrame:
+    """One row: the floor and the next file number after a snapshot (floor, next_file) and the edits (floor, next_file) that follow; both only rise."""
+    both = snapshot.select("floor", "next_file").unionByName(edits.select("floor", "next_file"))
+    return both.agg(F.max("floor").alias("floor"), F.max("next_file").alias("next_file"))
+
+
 def geometric_levels(spark, base_bytes: int, ratio: int, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("level"), (F.lit(base_bytes) * F.pow(F.lit(ratio), F.col("id"))).cast("long").alias("max_bytes"))
 

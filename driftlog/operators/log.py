@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import in_range
+from ..sources.tables import saved
+from .ordered import running
 
-#: Range deletes up to this number are broadcast; more are dealt out by key bucket.
-FEW_RANGES = 10_000
+#: Parts of the key space in which range deletes are made disjoint.
 BUCKETS = 256
 
 
@@ -30,18 +31,60 @@ def live_state(log: DataFrame, key="key", seq="seq", op="op") -> DataFrame:
     return newest(log, key, seq).filter(F.col(op) == "put")
 
 
+def disjoint_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges (lower, upper, range_seq) -> disjoint ones with the greatest seq that covers each. Empty and inverted ones do nothing.
+
+    The key space is cut into BUCKETS parts with about as many lower bounds each; a range goes, clipped, to every part that it meets, and each part
+    is swept once in key order. Rows are range deletes, not data: a wide range costs BUCKETS of them at most."""
+    ranges = saved(ranges.filter("lower < upper").select("lower", "upper", "range_seq"), "ranges")
+    cuts = [r.lower for r in ranges.select("lower").distinct().sort("lower").collect()] if ranges.count() <= BUCKETS else ranges.select(F.percentile_approx("lower", [i / BUCKETS for i in range(1, BUCKETS)]).alias("c")).first().c
+    bounds = sorted(set(cuts))
+    if not bounds:
+        return ranges
+    array = F.array(*(F.lit(c) for c in bounds))
+    part = F.size(F.filter(array, lambda b: b <= F.col("lower")))
+    last = F.size(F.filter(array, lambda b: b < F.col("upper")))
+    dealt = ranges.withColumn("part", F.explode(F.sequence(part, F.greatest(part, last))))
+    lo, hi = F.try_element_at(array, F.when(F.col("part") > 0, F.col("part"))), F.try_element_at(array, F.col("part") + 1)
+    dealt = dealt.withColumns({"lower": F.greatest("lower", lo), "upper": F.least("upper", hi)}).filter("lower < upper")
+
+    def sweep(rows):
+        import heapq
+
+        import pandas as pd
+
+        rows = rows.sort_values("lower")
+        edges = sorted({*rows.lower, *rows.upper})
+        todo, heap, out = list(zip(rows.lower, rows.upper, rows.range_seq)), [], []
+        at = 0
+        for a, b in zip(edges, edges[1:]):
+            while at < len(todo) and todo[at][0] <= a:
+                heapq.heappush(heap, (-todo[at][2], todo[at][1]))
+                at += 1
+            while heap and heap[0][1] <= a:
+                heapq.heappop(heap)
+            if heap:
+                if out and out[-1][1] == a and out[-1][2] == -heap[0][0]:
+                    out[-1][1] = b
+                else:
+                    out.append([a, b, -heap[0][0]])
+        return pd.DataFrame(out, columns=["lower", "upper", "range_seq"])
+
+    return dealt.groupBy("part").applyInPandas(sweep, ranges.schema)
+
+
 def delete_ranges(entries: DataFrame, ranges: DataFrame, key="key", seq="seq") -> DataFrame:
-    """Entries that no later range delete covers. ranges: lower, upper (exclusive), range_seq; empty and inverted ones do nothing."""
-    ranges = ranges.filter("lower < upper")
-    n = ranges.count()
-    covered = (F.col("lower") <= F.col(key)) & (F.col(key) < F.col("upper")) & (F.col("range_seq") > F.col(seq))
-    if n <= FEW_RANGES:
-        return entries.join(F.broadcast(ranges), covered, "left_anti")
-    cuts = ranges.select(F.percentile_approx("lower", [i / BUCKETS for i in range(1, BUCKETS)]).alias("c")).first().c
-    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts))))
-    bucket = lambda c: F.size(F.filter(bounds, lambda b: b <= c))
-    dealt = ranges.withColumn("rb", F.explode(F.sequence(bucket(F.col("lower")), bucket(F.col("upper")))))
-    return entries.withColumn("eb", bucket(F.col(key))).join(dealt, (F.col("eb") == F.col("rb")) & covered, "left_anti").drop("eb")
+    """Entries that no later range delete covers. ranges: lower, upper (exclusive), range_seq; empty and inverted ones do nothing.
+
+    Disjoint ranges and entries go through one range sort by key: the last range that begins up to a key decides. No pairs are made, and a
+    hot key or a wide range falls into no single task."""
+    cuts = disjoint_ranges(ranges)
+    rest = [c for c in entries.columns if c != key]
+    e = entries.select(F.col(key).alias("k"), F.lit(1).alias("side"), F.struct(F.lit(0), *rest).alias("e"), F.lit(None).alias("r"))
+    r = cuts.select(F.col("lower").alias("k"), F.lit(0).alias("side"), F.lit(None).alias("e"), F.struct("upper", "range_seq").alias("r"))
+    both = running(e.unionByName(r).withColumn("one", F.lit(0)), ["one"], ["k", "side"], F.col("r"), "last_r", how="last")
+    gone = (F.col("k") < F.col("last_r.upper")) & (F.col("last_r.range_seq") > F.col(f"e.{seq}"))
+    return both.filter((F.col("side") == 1) & ~F.coalesce(gone, F.lit(False))).select(F.col("k").alias(key), *(f"e.{c}" for c in rest)).select(entries.columns)
 
 
 def floor_of(log: DataFrame, key="key", op="op") -> DataFrame:
@@ -109,6 +152,28 @@ def scan(state: DataFrame, key="key", lower=None, upper=None, reverse=False) ->
     return state.filter(in_range(F.col(key), lower, upper)).orderBy(F.desc(key) if reverse else F.asc(key))
 
 
+def next_batch(state: DataFrame, n: int, key="key", after=None, reverse=False) -> DataFrame:
+    """The iterator's next n entries beyond a key, in order: what a batched iterator copies at a time."""
+    cond = F.lit(True) if after is None else (F.col(key) < F.lit(after) if reverse else F.col(key) > F.lit(after))
+    return state.filter(cond).orderBy(F.desc(key) if reverse else F.asc(key)).limit(n)
+
+
+def keep_duplicates(log: DataFrame, op="op") -> DataFrame:
+    """A window store that retains duplicates: every put is an entry of its own, told by its sequence number; deletes do nothing."""
+    return log.filter(F.col(op) == "put")
+
+
+def refused_below_floor(log: DataFrame, key="key", seq="seq", cut="cut") -> DataFrame:
+    """Writes below the floor that truncations (rows with a cut) before them have set; they are refused. The floor is one for the whole store."""
+    rows = running(log.withColumn("one", F.lit(0)), ["one"], [seq], F.col(cut), "floor")
+    return rows.filter(F.col(cut).isNull() & (F.col(key) < F.col("floor"))).drop("one")
+
+
+def null_mutations(staged: DataFrame, value="value") -> DataFrame:
+    """Staged rows that are refused: a mutation without a value says neither put nor delete."""
+    return staged.filter(F.col(value).isNull())
+
+
 def multi_get(state: DataFrame, keys: DataFrame, key="key") -> DataFrame:
     """Entries of a set of keys; absent keys have no row. Spark broadcasts the keys where they are few."""
     return state.join(keys.select(key).distinct(), key, "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def _micros(c) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
@@ -15,9 +17,9 @@ def in_time(log: DataFrame, retention_s: int, ts="ts", seq="seq", by=("part",),
 
     Session stores ask it of the session's end. Versioned stores also take a row exactly at the bound: closed.
 
-    A store's partition is replayed in order, so its rows form one window: `by` is what scales."""
-    w = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("stream_us", F.max(_micros(ts)).over(w))
+    A store's rows may span many tasks: see running()."""
+    order = [seq] if isinstance(seq, str) else list(seq)
+    rows = running(log, by, order, _micros(ts), "stream_us")
     bound = F.col("stream_us") - retention_s * 1_000_000
     return rows.filter(_micros(ts) >= bound if closed else _micros(ts) > bound).drop("stream_us")
 
@@ -39,6 +41,25 @@ def fetch(store: DataFrame, key="key", start=None, end=None, lower=None, upper=N
     return store.filter(cond)
 
 
+def in_store_order(rows: DataFrame, segment_s: int, ts="us", key="key", seq="seq", backward: bool = False) -> DataFrame:
+    """As a window store's iterator goes: by segment, key, time and sequence number; backward is the exact reverse. ts in microseconds."""
+    order = [F.floor(F.col(ts) / (segment_s * 1_000_000)), F.col(key), F.col(ts), F.col(seq)]
+    return rows.orderBy(*(c.desc() if backward else c.asc() for c in order))
+
+
+def restored(changelog: DataFrame, key: list[str], seq="seq", value="value") -> DataFrame:
+    """A store as its changelog leaves it: the last record of each key, null values being deletes. Replaying a record twice changes nothing."""
+    rest = [c for c in changelog.columns if c not in key]
+    last = changelog.groupBy(*key).agg(F.max_by(F.struct(*rest), seq).alias("w"))
+    return last.filter(F.col(f"w.{value}").isNotNull()).select(*key, "w.*")
+
+
+def restored_versions(changelog: DataFrame, key="key", ts="us", seq="seq", value="value", by=("part",)) -> DataFrame:
+    """A versioned store's changelog as log rows: a tombstone has no time of its own and takes the stream time at its place."""
+    rows = running(changelog, by, [seq], F.col(ts), "stream")
+    return rows.withColumn(ts, F.when(F.col(value).isNull(), F.col("stream")).otherwise(F.col(ts))).drop("stream")
+
+
 def tumbling_count(rows: DataFrame, size: str, key="key", ts="ts", slide: str | None = None) -> DataFrame:
     w = F.window(F.col(ts).cast("timestamp"), size, slide) if slide else F.window(F.col(ts).cast("timestamp"), size)
     return rows.groupBy(key, w.alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("window_start"), "n")

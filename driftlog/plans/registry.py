@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import has_prefix
@@ -12,7 +13,7 @@ from ..operators import layout as L
 from ..operators import log as M
 from ..operators import replay as R
 from ..operators import temporal as S
-from ..sources.tables import table
+from ..sources.tables import StateTable, shared_dir, table
 from ..streaming import topologies as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,13 +292,16 @@ def replay_going_back(spark, d):
 
 FILES = f"""{LOG}, files AS (SELECT seq % 3 AS level, seq // 100 * 3 + seq % 3 AS file_number, min(key) AS smallest_key, max(key) AS largest_key, CAST(sum(length(event_type) + 16) AS BIGINT) AS file_bytes,
   count(*) AS num_entries, count(*) FILTER (op = 'delete') AS num_tombstones, count(*) FILTER (event_type = 'signup' AND value > 99) AS num_range_tombstones, min(us) AS min_write_us, max(us) AS max_write_us,
-  min(seq) AS watermark_high0, max(seq) AS watermark_high, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN min(seq) END AS watermark_low FROM log GROUP BY 1, 2)"""
+  min(seq) AS watermark_high0, max(seq) AS watermark_high, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN min(seq) END AS watermark_low,
+  min(key - 80) FILTER (event_type = 'signup' AND value > 99) AS smallest_range_key, max(key + 160) FILTER (event_type = 'signup' AND value > 99) AS largest_range_key, seq // 100 % 3 AS place FROM log GROUP BY 1, 2, seq // 100 % 3)"""
 
 
 def files(spark, d):
     """The log as the files of a store: a hundred mutations a file, three levels."""
     rows = log(spark, d).withColumns({"level": F.col("seq") % 3, "file_number": F.expr("seq div 100") * 3 + F.col("seq") % 3})
-    return rows.groupBy("level", "file_number").agg(
+    cut = F.when((F.col("event_type") == "signup") & (F.col("value") > 99), F.col("key"))
+    return rows.groupBy("level", "file_number", (F.expr("seq div 100") % 3).alias("place")).agg(
+        F.min(cut - 80).alias("smallest_range_key"), F.max(cut + 160).alias("largest_range_key"),
         F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), F.sum(F.length("event_type") + 16).alias("file_bytes"), F.count("*").alias("num_entries"), F.count_if(F.col("op") == "delete").alias("num_tombstones"),
         F.count_if((F.col("event_type") == "signup") & (F.col("value") > 99)).alias("num_range_tombstones"), F.min("us").alias("min_write_us"), F.max("us").alias("max_write_us"),
         F.max("seq").alias("watermark_high"), F.when(F.count_if(F.col("event_type") == "signup") > 0, F.min("seq")).alias("watermark_low"),
@@ -308,16 +312,21 @@ query("level_stats", f"WITH {FILES} SELECT level, count(*) AS files, CAST(sum(fi
 LEVELS = [(0, 4, 50000), (1, 40, 200000), (2, 400, 1000000)]
 
 
-@query("level_score", f"WITH {FILES}, levels(level, max_files, max_bytes) AS (VALUES {', '.join(map(str, LEVELS))}) SELECT level, greatest(count(*) / any_value(max_files), sum(file_bytes) / any_value(max_bytes), max(num_tombstones / num_entries) / 0.5::DOUBLE) AS score FROM files JOIN levels USING (level) GROUP BY level")  # M1 M20
+@query("level_score", f"WITH {FILES}, levels(level, max_files, max_bytes) AS (VALUES {', '.join(map(str, LEVELS))}) SELECT level, greatest(count(*) / any_value(max_files), sum(file_bytes) / any_value(max_bytes), coalesce(max(CASE WHEN num_entries >= 34 THEN num_tombstones / num_entries END), 0) / 0.5::DOUBLE) AS score FROM files JOIN levels USING (level) GROUP BY level")  # M1 M20
 def level_score(spark, d):
-    return L.level_scores(files(spark, d), spark.createDataFrame(LEVELS, "level long, max_files long, max_bytes long"), 0.5)
+    return L.level_scores(files(spark, d), spark.createDataFrame(LEVELS, "level long, max_files long, max_bytes long"), 0.5, 34)
+
+
+@query("level_to_compact", ORACLES["level_score"].replace("SELECT level, greatest", "SELECT level FROM (SELECT level, greatest") + ") WHERE score > 1 ORDER BY score DESC, level LIMIT 1")  # M1: the pick
+def level_to_compact(spark, d):
+    return L.level_to_compact(level_score(spark, d)).select("level")
 
 
 TIERS = [(0, 86400000000), (1, 864000000000), (2, None)]
 NOW = 1706745600000000  # 2024-02-01
 
 
-@query("tier_placement", f"WITH {FILES} SELECT file_number, CASE WHEN {NOW} - max_write_us <= 86400000000 THEN 0 WHEN {NOW} - max_write_us <= 864000000000 THEN 1 ELSE 2 END AS tier FROM files")  # M5
+@query("tier_placement", f"WITH {FILES} SELECT file_number, CASE WHEN {NOW} - min_write_us <= 86400000000 THEN 0 WHEN {NOW} - min_write_us <= 864000000000 THEN 1 ELSE 2 END AS tier FROM files")  # M5
 def tier_placement(spark, d):
     return L.placement(files(spark, d), spark.createDataFrame(TIERS, "tier int, max_age_us long"), NOW)
 
@@ -343,20 +352,37 @@ def tombstone_gc(spark, d):
 
 
 CUT = 1705276800000000  # 2024-01-15
-query("ttl_expired_files", f"WITH {FILES} SELECT file_number FROM files f WHERE max_write_us <= {CUT} AND num_range_tombstones = 0 AND NOT EXISTS (SELECT 1 FROM files o WHERE o.max_write_us < f.max_write_us AND o.smallest_key <= f.largest_key AND f.smallest_key <= o.largest_key AND o.file_number <> f.file_number)")(lambda s, d: L.expired(files(s, d), CUT).select("file_number"))  # M8
-query("truncated_files", f"WITH {FILES} SELECT file_number FROM files WHERE largest_key < 95")(lambda s, d: files(s, d).filter("largest_key < 95").select("file_number"))  # M9
+query("ttl_expired_files", f"WITH {FILES} SELECT file_number FROM files f WHERE max_write_us > 0 AND max_write_us <= {CUT} AND num_range_tombstones = 0 AND NOT EXISTS (SELECT 1 FROM files o WHERE (o.level > f.level OR (o.level = f.level AND o.file_number < f.file_number)) AND o.smallest_key <= f.largest_key AND f.smallest_key <= o.largest_key)")(lambda s, d: L.expired(files(s, d), CUT).select("file_number"))  # M8
+query("truncated_files", f"WITH {FILES} SELECT file_number FROM files WHERE greatest(largest_key, largest_range_key) < (SELECT max(largest_key) FROM files)")(lambda s, d: _truncated(s, d).select("file_number"))  # M9
+
+
+def _truncated(spark, d):
+    f = files(spark, d)
+    return L.truncated(f, f.agg(F.max("largest_key")).first()[0])
+
+
 query("range_is_erased", f"WITH {FILES} SELECT count(*) = 0 AS erased FROM files WHERE num_entries > 0 AND smallest_key < 30 AND largest_key >= 20")(lambda s, d: files(s, d).filter("num_entries > 0 AND smallest_key < 30 AND largest_key >= 20").agg((F.count("*") == 0).alias("erased")))  # R13
 
 
-@query("range_drop_files", f"WITH {FILES}, r(lower, upper, range_us) AS (VALUES (0, 100000, {T0}), (5, 50, {T1})) SELECT DISTINCT file_number FROM files, r WHERE range_us > max_write_us AND lower <= smallest_key AND largest_key < upper")  # M10
-def range_drop_files(spark, d):
-    r = spark.createDataFrame([(0, 100000, T0), (5, 50, T1)], "lower long, upper long, range_us long")
-    return files(spark, d).join(F.broadcast(r), F.expr("range_us > max_write_us AND lower <= smallest_key AND largest_key < upper"), "left_semi").select("file_number")
+query("range_drop_files", f"""WITH {FILES} SELECT f.file_number, bool_or(c.num_range_tombstones = 1) AS exact FROM files f JOIN files c ON c.num_range_tombstones > 0 AND (c.level < f.level OR (c.level = f.level AND c.file_number > f.file_number))
+ AND c.smallest_range_key <= f.smallest_key AND f.largest_key < c.largest_range_key WHERE f.num_range_tombstones = 0 AND f.num_entries > 0 GROUP BY 1""")(lambda s, d: L.range_dropped(files(s, d)))  # M10
+ROOM = [(0, 86400000000, 4000, False), (1, 864000000000, None, True), (2, None, None, False)]
 
 
-@query("migration_pick", f"WITH {FILES} SELECT file_number, min_write_us FROM files WHERE level > 0 AND {NOW} - max_write_us > 86400000000 ORDER BY min_write_us, file_number LIMIT 1")  # M6: the oldest file past its tier; level 0 stays
-def migration_pick(spark, d):
-    return files(spark, d).filter((F.col("level") > 0) & (F.lit(NOW) - F.col("max_write_us") > 86400000000)).orderBy("min_write_us", "file_number").limit(1).select("file_number", "min_write_us")
+def _migration(name, rooms):
+    tiers = ", ".join(f"({t}, {'NULL' if a is None else a}::BIGINT, {'NULL' if b is None else b}::BIGINT, {x})" for t, a, b, x in rooms)
+    query(name, f"""WITH {FILES}, tiers(tier, max_age_us, max_bytes, transient) AS (VALUES {tiers}),
+ p AS (SELECT f.*, (SELECT min(tier) FROM tiers WHERE max_age_us IS NULL OR greatest({NOW} - f.min_write_us, 0) <= max_age_us) AS target, sum(file_bytes) OVER (PARTITION BY place) AS held FROM files f WHERE level > 0),
+ j AS (SELECT p.*, max_bytes, transient, target > place AS past, coalesce(held > max_bytes, false) AND place < (SELECT max(tier) FROM tiers) AS over_room FROM p JOIN tiers ON tier = place),
+ m AS (SELECT *, 1 AS step, 0 AS room, min_write_us AS age FROM j WHERE transient AND past UNION ALL SELECT *, 1, 1, min_write_us FROM j WHERE transient AND over_room
+  UNION ALL SELECT *, 2, 1, min_write_us FROM j WHERE over_room UNION ALL SELECT *, 3, 0, 0 FROM j WHERE past)
+ SELECT file_number, place AS from_tier, CASE WHEN room = 1 THEN place + 1 ELSE target END AS to_tier, step = 1 AS leaves_transient, room = 1 AS capacity_eviction FROM m ORDER BY step, place, room, age, level, smallest_key, file_number LIMIT 1""")(
+        lambda s, d: L.pick_migration(files(s, d), s.createDataFrame(rooms, "tier long, max_age_us long, max_bytes long, transient boolean"), NOW))
+
+
+_migration("migration_pick", ROOM)  # M6: off a transient tier first
+_migration("migration_for_room", [(0, None, 4000, False), (1, None, None, False)])  # M6: a tier has no room
+_migration("migration_by_age", [(0, 86400000000, None, False), (1, 864000000000, None, False), (2, None, None, False)])  # M6: by age alone
 
 
 @query("recovery_watermark", f"WITH {FILES}, l AS (SELECT level AS part, largest_key > 95 AND level > 0 AS lost, watermark_low, watermark_high FROM files) SELECT part, coalesce(CASE WHEN NOT bool_or(lost) THEN max(watermark_high) WHEN bool_or(lost AND watermark_low IS NULL) THEN NULL ELSE min(watermark_low) FILTER (lost) END, -1) AS resume FROM l GROUP BY part")  # W11 M7
@@ -364,10 +390,20 @@ def recovery_watermark(spark, d):
     return L.recovery_watermark(files(spark, d).select(F.col("level").alias("part"), ((F.col("largest_key") > 95) & (F.col("level") > 0)).alias("lost"), "watermark_low", "watermark_high")).withColumn("resume", F.coalesce("resume", F.lit(-1)))  # -1: none
 
 
-@query("orphan_objects", f"WITH {FILES} SELECT s_suppkey AS object FROM supplier WHERE s_suppkey NOT IN (SELECT file_number FROM files) AND s_acctbal > 0")  # M13 M14: supplier stands for a listing, s_acctbal for time unreferenced
+@query("orphan_objects", f"WITH {FILES} SELECT file_number + 1000000 AS object FROM files WHERE file_number % 4 = 0 AND {NOW} - max_write_us >= 1728000000000")  # M13: the listing has all files and, from interrupted writes, others
 def orphan_objects(spark, d):
-    listing = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("object"))
-    return listing.join(files(spark, d).select(F.col("file_number").alias("object")), "object", "left_anti")
+    f = files(spark, d)
+    listing = f.select(F.col("file_number").alias("object"), F.col("max_write_us").alias("first_seen_us")).unionByName(f.filter("file_number % 4 = 0").select((F.col("file_number") + 1000000).alias("object"), F.col("max_write_us").alias("first_seen_us")))
+    return L.orphans(listing, f, NOW, 1728000000000)
+
+
+query("store_totals", f"WITH {FILES} SELECT count(*) AS files, CAST(sum(file_bytes) AS BIGINT) AS bytes, CAST(sum(num_entries) AS BIGINT) AS entries, CAST(sum(num_tombstones) AS BIGINT) AS tombstones, CAST(sum(num_range_tombstones) AS BIGINT) AS range_tombstones, min(min_write_us) AS oldest_us, max(watermark_high) AS position FROM files")(lambda s, d: L.store_totals(files(s, d)))  # M12 M16 M17
+
+
+@query("manifest_counters", f"WITH {FILES} SELECT max(smallest_key) AS floor, max(file_number) + 1 AS next_file FROM files")  # M18: a snapshot of level 2, then edits; both counters only rise
+def manifest_counters(spark, d):
+    f = files(spark, d).select("level", F.col("smallest_key").alias("floor"), (F.col("file_number") + 1).alias("next_file"))
+    return L.manifest_counters(f.filter("level = 2"), f.filter("level < 2"))
 
 
 @query("manifest_replay", """WITH e AS (SELECT event_id + 1 AS seq, user_id AS file_number, CASE WHEN event_type IN ('view', 'click') THEN 'add' ELSE 'delete' END AS action FROM events WHERE event_id <> (SELECT max(event_id) * 3 // 4 FROM events)),
@@ -444,7 +480,7 @@ def versioned_put_in_time(spark, d):
     return S.in_time(log(spark, d).withColumn("arrival", F.struct("arrival", "seq")), HOUR, seq="arrival", closed=True).select("key", "seq")
 
 
-@query("tier_stats", f"WITH {FILES}, t AS (SELECT *, CASE WHEN {NOW} - max_write_us <= 86400000000 THEN 0 WHEN {NOW} - max_write_us <= 864000000000 THEN 1 ELSE 2 END AS tier FROM files) SELECT tier, count(*) AS files, CAST(sum(file_bytes) AS BIGINT) AS bytes, CAST(sum(num_entries) AS BIGINT) AS entries, min(max_write_us) AS oldest_us FROM t GROUP BY tier")  # M12 M16 M17
+@query("tier_stats", f"WITH {FILES}, t AS (SELECT *, CASE WHEN {NOW} - min_write_us <= 86400000000 THEN 0 WHEN {NOW} - min_write_us <= 864000000000 THEN 1 ELSE 2 END AS tier FROM files) SELECT tier, count(*) AS files, CAST(sum(file_bytes) AS BIGINT) AS bytes, CAST(sum(num_entries) AS BIGINT) AS entries, min(min_write_us) AS oldest_us FROM t GROUP BY tier")  # M12 M16 M17
 def tier_stats(spark, d):
     return L.tier_stats(files(spark, d), spark.createDataFrame(TIERS, "tier int, max_age_us long"), NOW)
 
@@ -479,3 +515,123 @@ def surviving_stores(spark, d):
 @query("reencryption_pending", f"WITH {FILES} SELECT level, count(*) FILTER (file_number % 5 <> 0) AS pending FROM files GROUP BY level")  # M15: the provider of a file's key stands in its number
 def reencryption_pending(spark, d):
     return files(spark, d).groupBy("level").agg(F.count_if(F.col("file_number") % 5 != 0).alias("pending"))
+
+
+def _stored(spark, d):
+    """The state as a reader finds it: one version, sorted by key."""
+    store = StateTable(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    store.flush(state(spark, d))
+    return store.read()
+
+
+def _stored_scan(name, where, make):
+    query(name, f"WITH {STATE} SELECT * FROM state WHERE {where}")(lambda spark, d: make(_stored(spark, d)).select("key", "value", "seq"))
+
+
+_stored_scan("stored_get", "key = 7", lambda s: s.filter("key = 7"))  # W7 R1 R2 R15
+_stored_scan("stored_range", "key >= 10 AND key < 50", lambda s: M.scan(s, lower=LOW, upper=HIGH))  # W7 R6
+_stored_scan("stored_lower_bound", "key >= 50", lambda s: M.scan(s, lower=50))  # W7 R5
+_stored_scan("stored_reverse_all", "true", lambda s: M.scan(s, reverse=True))  # W7 R8 R11
+query("next_batch", f"WITH {STATE} SELECT * FROM state WHERE key > 20 ORDER BY key LIMIT 10")(lambda s, d: M.next_batch(_stored(s, d), 10, after=20).select("key", "value", "seq"))  # R9
+query("next_batch_back", f"WITH {STATE} SELECT * FROM state WHERE key < 90 ORDER BY key DESC LIMIT 10")(lambda s, d: M.next_batch(_stored(s, d), 10, after=90, reverse=True).select("key", "value", "seq"))  # R8 R9
+query("reverse_prefix_batch", "SELECT url, page_id FROM pages WHERE starts_with(url, 'https://') ORDER BY url DESC, page_id DESC LIMIT 20")(lambda s, d: table(s, d, "pages").filter(has_prefix(F.col("url"), "https://")).select("url", "page_id").orderBy(F.desc("url"), F.desc("page_id")).limit(20))  # R11
+
+
+@query("read_only_refresh", f"""WITH {LOG}, early AS (SELECT * FROM log WHERE seq % 10 < 5), a AS (SELECT key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM early) WHERE rn = 1 AND op = 'put'),
+ b AS (SELECT key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND op = 'put')
+ SELECT 'pinned' AS view, key FROM a UNION ALL SELECT 'refreshed', key FROM b""")  # R14
+def read_only_refresh(spark, d):
+    """A reader keeps the version it opened while the next is written, and sees that one once refreshed."""
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    writer, reader = StateTable(spark, path), StateTable(spark, path)
+    writer.flush(M.live_state(log(spark, d).filter("seq % 10 < 5")).select("key", "value", "seq"))
+    reader.read()
+    writer.flush(state(spark, d))
+    pinned = reader.read()
+    reader.refresh()
+    return pinned.select(F.lit("pinned").alias("view"), "key").unionByName(reader.read().select(F.lit("refreshed").alias("view"), "key"))
+
+
+def _backward(name, where, by, **bounds):
+    order = "us // 43200000000, key, us, seq"
+    back = ", ".join(f"{c} DESC" for c in order.split(", "))
+    rows = f"WITH {LOG} SELECT key, us, seq, value FROM log WHERE op = 'put' AND {where}"
+    fetch = lambda s, d: S.fetch(log(s, d).filter("op = 'put'"), ts="us", **bounds).select("key", "us", "seq", "value")
+    query(f"{name}_first", f"{rows} ORDER BY {order} LIMIT {by}")(lambda s, d: S.in_store_order(fetch(s, d), 12 * HOUR).limit(by))
+    query(f"{name}_backward", f"{rows} ORDER BY {back} LIMIT {by}")(lambda s, d: S.in_store_order(fetch(s, d), 12 * HOUR, backward=True).limit(by))
+
+
+_backward("window_key", f"key = 7 AND us BETWEEN {T0} AND {T1}", 5, lower=7, upper=7, start=T0, end=T1)  # WS3
+_backward("window_keys", f"key BETWEEN 10 AND 50 AND us BETWEEN {T0} AND {T1}", 20, lower=LOW, upper=HIGH, start=T0, end=T1)  # WS4
+_backward("window_all", "true", 30)  # WS5 WS6
+
+
+@query("fetch_session_exact", f"WITH {GAPS}, one AS (SELECT min(start_us) AS s FROM sessions WHERE user_id = 7) SELECT sessions.* FROM sessions, one WHERE user_id = 7 AND start_us = s")  # SS3: key, start and end
+def fetch_session_exact(spark, d):
+    s = session_count(spark, d)
+    one = s.filter("user_id = 7").orderBy("start_us").limit(1).select("user_id", "start_us", "end_us")
+    return s.join(F.broadcast(one), ["user_id", "start_us", "end_us"], "left_semi")
+
+
+query("sessions_backward", f"WITH {GAPS} SELECT * FROM sessions WHERE user_id BETWEEN 10 AND 50 ORDER BY end_us // 43200000000 DESC, user_id DESC, end_us DESC, start_us DESC LIMIT 20")(lambda s, d: S.in_store_order(session_count(s, d).filter("user_id BETWEEN 10 AND 50"), 12 * HOUR, ts="end_us", key="user_id", seq="start_us", backward=True).limit(20))  # SS4
+query("multi_version_descending", f"WITH {VERS} SELECT key, valid_from, value FROM vers WHERE value IS NOT NULL AND valid_from <= {T1} AND (valid_to IS NULL OR valid_to > {T0}) ORDER BY key DESC, valid_from DESC LIMIT 20")(lambda s, d: S.in_force(_versions(s, d), T0, T1).select("key", "valid_from", "value").orderBy(F.desc("key"), F.desc("valid_from")).limit(20))  # VS10
+query("version_entries", f"WITH {VERS} SELECT count(*) AS entries FROM vers")(lambda s, d: _versions(s, d).agg(F.count("*").alias("entries")))  # VS8
+
+
+@query("version_delete_returning", f"WITH {VERS} SELECT t.key, t.valid_from, p.value AS old_value FROM vers t JOIN vers p ON p.key = t.key AND p.valid_to = t.valid_from WHERE t.value IS NULL AND p.value IS NOT NULL")  # VS5
+def version_delete_returning(spark, d):
+    w = Window.partitionBy("key").orderBy("valid_from")
+    rows = _versions(spark, d).withColumn("old_value", F.lag("value").over(w))
+    return rows.filter("value IS NULL AND old_value IS NOT NULL").select("key", "valid_from", "old_value")
+
+
+query("window_duplicates", f"WITH {LOG} SELECT key, us // 3600000000 * 3600000000 AS hour_us, seq, value FROM log WHERE op = 'put'")(lambda s, d: M.keep_duplicates(log(s, d).withColumn("hour_us", F.expr("us div 3600000000 * 3600000000"))).select("key", "hour_us", "seq", "value"))  # WS13
+
+CHANGES = f"{LOG}, ch AS (SELECT *, CASE WHEN op = 'put' THEN value END AS v, us // 3600000000 * 3600000000 AS hour_us FROM log)"
+
+
+def _changes(spark, d):
+    return log(spark, d).select("part", "key", "seq", "us", "ts", F.when(F.col("op") == "put", F.col("value")).alias("value"), F.expr("us div 3600000000 * 3600000000").alias("hour_us"))
+
+
+query("kv_restore", f"WITH {STATE} SELECT key, value, seq FROM state")(lambda s, d: S.restored(_changes(s, d).unionByName(_changes(s, d).filter("seq % 3 = 0")), ["key"]).select("key", "value", "seq"))  # Kafka restore; a third of the records come twice
+
+
+@query("window_restore", f"WITH {CHANGES}, top AS (SELECT max(us) AS top FROM ch) SELECT key, hour_us, v AS value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key, hour_us ORDER BY seq DESC) AS rn FROM ch), top WHERE rn = 1 AND v IS NOT NULL AND us // 43200000000 >= (top - 604800000000) // 43200000000")  # WS9 WS10
+def window_restore(spark, d):
+    """Deletes move stream time as well; what has expired by the end of the replay isn't there."""
+    rows = _changes(spark, d).withColumn("one", F.lit(0))
+    tops = rows.groupBy("one").agg(F.max("us").alias("top"))
+    kept = S.restored(rows, ["key", "hour_us"]).join(F.broadcast(tops), "one")
+    return kept.filter(F.expr("us div 43200000000 >= (top - 604800000000) div 43200000000")).select("key", "hour_us", "value", "seq")
+
+
+query("session_restore", f"WITH {CHANGES} SELECT key, us - 600000000 AS start_us, us AS end_us, seq FROM (SELECT *, row_number() OVER (PARTITION BY key, us ORDER BY seq DESC) AS rn FROM ch) WHERE rn = 1 AND v IS NOT NULL")(lambda s, d: S.restored(_changes(s, d).withColumns({"start_us": F.col("us") - 600000000, "end_us": F.col("us")}), ["key", "start_us", "end_us"]).select("key", "start_us", "end_us", "seq"))  # SS9
+
+
+@query("version_restore", f"""WITH {CHANGES}, st AS (SELECT *, max(us) OVER (PARTITION BY part ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stream FROM ch), r AS (SELECT key, seq, v, CASE WHEN v IS NULL THEN stream ELSE us END AS t0 FROM st)
+ SELECT key, t0 AS valid_from, v AS value, coalesce(lead(t0) OVER (PARTITION BY key ORDER BY t0), -1) AS valid_to FROM (SELECT *, row_number() OVER (PARTITION BY key, t0 ORDER BY seq DESC) AS rn FROM r) WHERE rn = 1""")  # VS11
+def version_restore(spark, d):
+    return _open_end(S.versions(S.restored_versions(_changes(spark, d)), ts="us")).select("key", "valid_from", "value", "valid_to")
+
+
+query("refused_watermarks", f"WITH {LOG}, w AS (SELECT part, seq, arrival, max(seq) OVER (PARTITION BY part ORDER BY arrival, seq ROWS UNBOUNDED PRECEDING) AS highest FROM log) SELECT part, seq FROM w WHERE seq < highest")(lambda s, d: R.refused_watermarks(log(s, d).withColumn("mark", F.col("seq")), seq="arrival").select("part", "seq"))  # W10
+query("refused_below_floor", f"WITH {LOG}, f AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN key // 3 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS floor FROM log) SELECT key, seq FROM f WHERE event_type <> 'signup' AND key < floor")(lambda s, d: M.refused_below_floor(log(s, d).withColumn("cut", F.when(F.col("event_type") == "signup", F.expr("key div 3")))).select("key", "seq"))  # W6
+
+
+@query("guarded_get", f"""WITH {STATE}, late AS (SELECT DISTINCT o_custkey % 4 AS part FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 4 < 2)
+ SELECT s_suppkey AS key, s_suppkey % 4 AS part, s_suppkey % 4 IN (SELECT part FROM late) AS refused, coalesce(CASE WHEN s_suppkey % 4 NOT IN (SELECT part FROM late) THEN value END, -1) AS value FROM supplier LEFT JOIN state ON key = s_suppkey""")  # P9
+def guarded_get(spark, d):
+    keys = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 4).alias("part"))
+    late = table(spark, d, "orders").filter("o_orderstatus = 'O' AND o_custkey % 4 < 2").select((F.col("o_custkey") % 4).alias("part")).distinct()
+    return R.guarded_get(state(spark, d), keys, late).withColumn("value", F.coalesce("value", F.lit(-1.0)))
+
+
+@query("leftover_stage", """WITH t AS (SELECT o_orderkey AS txn_id, o_custkey % 8 AS part, o_orderstatus FROM orders), latest AS (SELECT part, max(txn_id) AS latest FROM t GROUP BY part)
+ SELECT part, txn_id, l_linenumber AS line FROM t JOIN latest USING (part) JOIN lineitem ON l_orderkey = txn_id WHERE o_orderstatus NOT IN ('F', 'P') AND txn_id < latest""")  # P4
+def leftover_stage(spark, d):
+    staged = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("txn_id"), F.col("l_linenumber").alias("line"))
+    return R.leftover(staged, _txns(spark, d)).select("part", "txn_id", "line")
+
+
+query("null_mutations", "SELECT l_orderkey AS txn_id, l_linenumber AS line FROM lineitem WHERE l_discount = 0")(lambda s, d: M.null_mutations(table(s, d, "lineitem").select(F.col("l_orderkey").alias("txn_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_discount") != 0, F.col("l_quantity")).alias("value"))).select("txn_id", "line"))  # P3: refused when staged

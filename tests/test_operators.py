@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftlog.functions import keys
-from driftlog.operators import layout, temporal
+from driftlog.operators import layout, replay, temporal
 from driftlog.operators import log as M
+from driftlog.operators.ordered import running
+from driftlog.sources.tables import Stale, StateTable
 
 
 def test_prefix_bounds():
@@ -44,12 +46,128 @@ def test_log_against_a_dict(spark, seed):
     assert careless != set(model)
 
 
-def test_many_ranges_give_the_same(spark, monkeypatch):
-    state = spark.range(200).select(F.col("id").alias("key"), F.col("id").alias("seq"))
-    cuts = spark.createDataFrame([(i * 7, i * 7 + i, i * 11) for i in range(30)], "lower long, upper long, range_seq long")
-    few = {r.key for r in M.delete_ranges(state, cuts).collect()}
-    monkeypatch.setattr(M, "FEW_RANGES", 3)
-    assert {r.key for r in M.delete_ranges(state, cuts).collect()} == few
+@pytest.mark.parametrize("buckets", [2, 5, 256])
+def test_ranges_against_all_pairs(spark, monkeypatch, buckets):
+    monkeypatch.setattr(M, "BUCKETS", buckets)
+    rng = random.Random(buckets)
+    entries = [(rng.randrange(200), rng.randrange(400)) for _ in range(300)]
+    cuts = [(lo, lo + rng.choice([-3, 0, 1, 5, 40, 500]), rng.randrange(400)) for lo in (rng.randrange(200) for _ in range(60))]
+    got = M.delete_ranges(spark.createDataFrame(entries, "key long, seq long"), spark.createDataFrame(cuts, "lower long, upper long, range_seq long"))
+    want = [(k, s) for k, s in entries if not any(lo <= k < hi and n > s for lo, hi, n in cuts)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    none = M.delete_ranges(spark.createDataFrame(entries, "key long, seq long"), spark.createDataFrame([(5, 5, 1)], "lower long, upper long, range_seq long"))
+    assert none.count() == len(entries)
+
+
+@pytest.mark.parametrize("parts", ["1", "3", "7"])
+def test_running_values_over_partitions(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = random.Random(int(parts))
+    rows = [(rng.choice("aab"), i, rng.choice([None, rng.randrange(50)])) for i in range(200)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = spark.createDataFrame(rows, "part string, n long, v long")
+        most = {r.n: r.x for r in running(df, ["part"], ["n"], F.col("v"), "x").collect()}
+        last = {r.n: r.x for r in running(df, ["part"], ["n"], F.col("v"), "x", how="last").collect()}
+        back = {(r.n, r.before) for r in replay.going_back(df.withColumn("arrival", (F.col("n") * 37) % 211).withColumn("seq", F.col("n"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for p, n, _ in rows:
+        seen = [v for q, m, v in rows if q == p and m <= n and v is not None]
+        assert most[n] == max(seen, default=None) and last[n] == (seen[-1] if seen else None)
+    want = set()
+    for p in "ab":
+        order = sorted((n * 37 % 211, n) for q, n, _ in rows if q == p)
+        want |= {(n, b) for (_, b), (_, n) in zip(order, order[1:]) if n <= b}
+    assert back == want
+
+
+FILE = "level long, file_number long, smallest_key long, largest_key long, num_entries long, num_tombstones long, num_range_tombstones long, smallest_range_key long, largest_range_key long, min_write_us long, max_write_us long, file_bytes long, place long"
+
+
+def store(spark, **rows):
+    base = {"level": 1, "smallest_key": 0, "largest_key": 9, "num_entries": 10, "num_tombstones": 0, "num_range_tombstones": 0, "smallest_range_key": None, "largest_range_key": None, "min_write_us": 1, "max_write_us": 1, "file_bytes": 10, "place": 0}
+    made = [base | {"file_number": int(k[1:])} | v for k, v in rows.items()]
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in FILE.split(", ")) for r in made], FILE)
+
+
+def test_golden_file_rules(spark):
+    numbers = lambda df: {r.file_number for r in df.collect()}
+    # Older is deeper, or lower in number: an overlapping older file keeps an expired one alive, whenever it was written.
+    f = store(spark, f1={"level": 2, "max_write_us": 900}, f2={"level": 1, "max_write_us": 100}, f3={"level": 1, "smallest_key": 20, "largest_key": 29, "max_write_us": 100}, f4={"level": 2, "smallest_key": 40, "largest_key": 49, "max_write_us": 0}, f5={"level": 1, "smallest_key": 60, "largest_key": 69, "max_write_us": 100, "num_range_tombstones": 1})
+    assert numbers(layout.expired(f, 500)) == {3} and numbers(layout.expired(f, 900)) == {1, 3}
+    # A newer file's range must hold the whole file; its upper bound is exclusive.
+    f = store(spark, f1={"level": 2}, f2={"level": 2, "largest_key": 10, "smallest_key": 3}, f3={"level": 0, "num_range_tombstones": 2, "smallest_range_key": 0, "largest_range_key": 10}, f4={"level": 0, "num_entries": 5}, f5={"level": 0}, f6={"level": 2, "num_entries": 0}, f7={"level": 1})
+    assert {(r.file_number, r.exact) for r in layout.range_dropped(f).collect()} == {(1, False), (7, False)}
+    assert numbers(layout.truncated(store(spark, f1={}, f2={"largest_range_key": 50}, f3={"largest_key": 30}), 10)) == {1}
+    # Density is asked of files with enough entries only.
+    f = store(spark, f1={"num_entries": 2, "num_tombstones": 2}, f2={"num_entries": 100, "num_tombstones": 25})
+    levels = spark.createDataFrame([(1, 100, 10**9)], "level long, max_files long, max_bytes long")
+    assert layout.level_scores(f, levels, 0.5, 10).first().score == 0.5 and layout.level_scores(f, levels, 0.5).first().score == 2.0
+
+
+def test_golden_migrations(spark):
+    schema = "tier long, max_age_us long, max_bytes long, transient boolean"
+    pick = lambda f, t: [tuple(r) for r in layout.pick_migration(f, spark.createDataFrame(t, schema), 1000).collect()]
+    two = lambda **x: [(0, x.get("age", 100), x.get("room"), x.get("transient", False)), (1, None, None, False)]
+    f = store(spark, f1={"min_write_us": 950}, f2={"min_write_us": 10}, f3={"min_write_us": 5, "level": 0}, f4={"min_write_us": 20, "level": 2})
+    assert pick(f, two()) == [(2, 0, 1, False, False)]  # by age, in store order; level 0 stays
+    assert pick(f, two(transient=True)) == [(2, 0, 1, True, False)]
+    assert pick(f, two(age=10**6, room=25)) == [(2, 0, 1, False, True)]  # three files of ten bytes: the oldest goes
+    assert pick(f, two(age=10**6, room=30)) == [] and pick(f, [(0, None, 5, True)]) == []
+    # The newest write does not make a file young.
+    assert layout.placement(store(spark, f1={"min_write_us": 10, "max_write_us": 999}), spark.createDataFrame(two(), schema), 1000).first().tier == 1
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    writer, reader = StateTable(spark, f"file://{tmp_path}/s"), StateTable(spark, f"file://{tmp_path}/s")
+    with pytest.raises(Stale):
+        reader.read()
+    writer.flush(spark.range(5).withColumnRenamed("id", "key"))
+    assert reader.read().count() == 5
+    writer.flush(spark.range(9).withColumnRenamed("id", "key"))
+    assert reader.read().count() == 5 and reader.refresh() == 2 and reader.read().count() == 9
+    writer.flush(spark.range(3).withColumnRenamed("id", "key"))
+    writer.expire()
+    with pytest.raises(Stale):
+        reader.read()
+
+
+def test_a_selective_read_does_not_grow_with_the_state(spark, tmp_path):
+    """Rows that the scan gives for a range of 100 keys, in a state of 20,000 and one of 200,000."""
+    seen = []
+    for n in (20_000, 200_000):
+        store = StateTable(spark, f"file://{tmp_path}/{n}")
+        store.flush(spark.range(n).select(F.col("id").alias("key"), F.rand(1).alias("value")), parts=n // 2_000)
+        df = M.scan(store.read(), lower=5_000, upper=5_100)
+        assert [r.key for r in df.collect()] == list(range(5_000, 5_100))
+        leaf = df._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters" in leaf
+        files = store.read().filter("key >= 5000 AND key < 5100").select(F.input_file_name()).distinct().count()
+        seen.append(files)
+    assert seen[0] == seen[1] == 1
+
+
+def test_scans_keep_order(spark):
+    state = spark.range(50).select(((F.col("id") * 17) % 50).alias("key"), F.col("id").alias("seq")).repartition(4)
+    assert [r.key for r in M.scan(state, lower=10, upper=30).collect()] == list(range(10, 30))
+    assert [r.key for r in M.scan(state, reverse=True).collect()] == list(range(49, -1, -1))
+    assert [r.key for r in M.next_batch(state, 4, after=20).collect()] == [21, 22, 23, 24] and [r.key for r in M.next_batch(state, 3, after=2, reverse=True).collect()] == [1, 0]
+    rows = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate([("a", 1), ("b", 0), ("a", 12), ("b", 11), ("a", 1)])], "key string, us long, seq long").withColumn("us", F.col("us") * 1_000_000)
+    order = [(r.key, r.us // 1_000_000, r.seq) for r in temporal.in_store_order(rows, 10).collect()]
+    assert order == [("a", 1, 0), ("a", 1, 4), ("b", 0, 1), ("a", 12, 2), ("b", 11, 3)]
+    assert [(r.key, r.us // 1_000_000, r.seq) for r in temporal.in_store_order(rows, 10, backward=True).collect()] == order[::-1]
+
+
+def test_commit_outcomes():
+    class ProducerDead(Exception): ...
+
+    class AbortableNotCommitted(Exception): ...
+
+    def fails(e):
+        raise e("x")
+
+    assert [replay.commit(lambda: None), replay.commit(lambda: fails(ProducerDead)), replay.commit(lambda: fails(AbortableNotCommitted)), replay.commit(lambda: fails(KeyError))] == ["committed", "unknown", "aborted", "unknown"]
 
 
 def test_golden_sessions_and_versions(spark):
