@@ -24,7 +24,7 @@ from .common import ByteBounded, slices
 SPACE_MARK = "▁"
 LETTERS = r"[^\W\d_]"
 #: Bytes of chunks with their ids that a worker keeps, and how many neighbour checks (some 200 bytes each).
-KEPT_BYTES, KEPT_CHECKS = 128 << 20, 150_000
+KEPT_BYTES, KEPT_CHECKS = 288 << 20, 250_000
 #: What a normaliser that changes nothing leaves as it is: ligatures, wide letters, marks that combine, runs and ends of blanks, controls.
 PROBES = ("a", "ﬁ①ｱＡ", "e\u0301é", " a  b ", "\ta\nb\r", "\u00a0\u3000\u200b", "İßΣς", "\x01\x7f", "漢字🙂")
 
@@ -162,10 +162,10 @@ class Codec:
         """The ids of a chunk as 32-bit integers."""
         found = self.known.older(chunk)
         if found is None:
-            ids: list[int] = []
-            for p in self.pieces(chunk):
-                i = self.ids.get(p)
-                ids.extend([i] if i is not None else [self.bytes[b] for b in p.encode()])
+            found = self.pieces(chunk)
+            ids = list(map(self.ids.get, found))
+            if None in ids:
+                ids = [j for p, i in zip(found, ids, strict=True) for j in ([i] if i is not None else [self.bytes[b] for b in p.encode()])]
             found = array("i", ids).tobytes()
             if len(chunk) <= 64:
                 self.known.put(chunk, found)
