@@ -352,7 +352,7 @@ def tombstone_gc(spark, d):
 
 
 CUT = 1705276800000000  # 2024-01-15
-query("ttl_expired_files", f"WITH {FILES} SELECT file_number FROM files f WHERE max_write_us > 0 AND max_write_us <= {CUT} AND num_range_tombstones = 0 AND NOT EXISTS (SELECT 1 FROM files o WHERE (o.level > f.level OR (o.level = f.level AND o.file_number < f.file_number)) AND o.smallest_key <= f.largest_key AND f.smallest_key <= o.largest_key)")(lambda s, d: L.expired(files(s, d), CUT).select("file_number"))  # M8
+query("ttl_expired_files", f"WITH {FILES} SELECT file_number FROM files f WHERE max_write_us > 0 AND max_write_us <= {CUT} AND num_range_tombstones = 0 AND level = 2 AND NOT EXISTS (SELECT 1 FROM files o WHERE o.level = 2 AND o.num_range_tombstones = 0 AND (o.level > f.level OR (o.level = f.level AND o.file_number < f.file_number)) AND o.smallest_key <= f.largest_key AND f.smallest_key <= o.largest_key)")(lambda s, d: L.expired(files(s, d).filter("level = 2 AND num_range_tombstones = 0"), CUT).select("file_number"))  # M8: of the last level, as shallower files always have an older one below them here
 query("truncated_files", f"WITH {FILES} SELECT file_number FROM files WHERE greatest(largest_key, largest_range_key) < (SELECT max(largest_key) FROM files)")(lambda s, d: _truncated(s, d).select("file_number"))  # M9
 
 
