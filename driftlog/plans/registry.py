@@ -191,6 +191,21 @@ query("stream_session_count", f"WITH {GAPS} SELECT * FROM sessions")(lambda spar
 query("stream_interval_join", JOIN)(lambda spark, d: ST.run_to_end(ST.joined(_stream(spark, d)), "append").select("user_id", "c_id", "p_id"))
 
 
+GRACE_DAYS = 5
+
+
+@query("stream_late_count", f"""WITH b AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_id * 3 // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS turn FROM events),
+ top AS (SELECT turn, max(us) // 1000 * 1000 - {GRACE_DAYS * 86400000000} AS mark FROM b GROUP BY turn), m AS (SELECT turn, coalesce(max(mark) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM top)
+ SELECT user_id, start_us, count(*) AS n FROM b JOIN m USING (turn) WHERE start_us + 3600000000 > before AND start_us + 3600000000 <= (SELECT max(mark) FROM top) GROUP BY ALL""")  # 2.11 grace, late data: every seventh event comes a turn late
+def stream_late_count(spark, d):
+    """Windows closed by the last turn, without what came after their close."""
+    e = table(spark, d, "events")
+    end = F.broadcast(e.agg((F.max("event_id") + 1).alias("end")))  # one row
+    e = e.join(end).withColumn("turn", F.expr("event_id * 3 div end + if(event_id % 7 = 0, 1, 0)"))
+    e = e.select("user_id", F.col("ts").cast("timestamp").alias("at"), "turn")
+    return ST.run_in_turns([e.filter(F.col("turn") == n) for n in range(4)], lambda s: ST.tumbling(s, grace=f"{GRACE_DAYS} days"))
+
+
 def _stream(spark, d):
     return ST.event_stream(spark, d, "events.parquet", table(spark, d, "events").schema)
 

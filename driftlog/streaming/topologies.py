@@ -19,26 +19,41 @@ def event_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFra
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def run_to_end(df: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming query over all there is; its last complete result, or all that it appended.
-
-    Batches go to the shared folder under their number, so a batch that is run again replaces itself."""
-    spark = df.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def _drain(df: DataFrame, mode: str, base: str) -> None:
+    """Run a streaming query over what is there. Batches go to the shared folder under their number, so a batch that is run again replaces itself."""
 
     def sink(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/{'last' if mode == 'complete' else f'batch={n}'}")
 
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
+
+def run_to_end(df: DataFrame, mode: str) -> DataFrame:
+    """Run a streaming query over all there is; its last complete result, or all that it appended."""
+    spark = df.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _drain(df, mode, base)
     return spark.read.schema(df.schema).parquet(f"{base}/out/{'last' if mode == 'complete' else '*'}")
 
 
+def run_in_turns(arrivals: list[DataFrame], make) -> DataFrame:
+    """All that make(stream) appends while its input arrives in turns. Each turn is a run of its own, which goes on from the checkpoint
+    of the one before: state and watermark outlive the restart, and a row behind the watermark of earlier turns is late."""
+    spark = arrivals[0].sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{base}/in")
+        out = make(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        _drain(out, "append", base)
+    return spark.read.schema(out.schema).parquet(f"{base}/out/*")
+
+
 def keyed_sum(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
 
-def tumbling(events: DataFrame, size: str = "1 hour") -> DataFrame:
-    return events.withWatermark("at", "0 seconds").groupBy("user_id", F.window("at", size).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+def tumbling(events: DataFrame, size: str = "1 hour", grace: str = "0 seconds") -> DataFrame:
+    return events.withWatermark("at", grace).groupBy("user_id", F.window("at", size).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
 
 
 def session_counts(events: DataFrame, gap_s: int = 7200) -> DataFrame:
