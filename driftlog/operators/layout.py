@@ -153,6 +153,51 @@ def compaction_inputs(files: DataFrame) -> DataFrame:
         lo, hi = span
 
 
+def _spans(files: DataFrame) -> DataFrame:
+    """With lo and hi, the keys that a file's entries and range tombstones reach together."""
+    return files.withColumns({"lo": F.least("smallest_key", "smallest_range_key"), "hi": F.greatest("largest_key", "largest_range_key")})
+
+
+def next_input(files: DataFrame, level: int, pointer=None) -> DataFrame:
+    """The first file of a sorted level that ends after the compaction pointer; past the last one, the first of the level again."""
+    follows = F.lit(True) if pointer is None else F.coalesce(F.col("largest_key") > F.lit(pointer), F.lit(False))
+    return _spans(files.filter(F.col("level") == level)).orderBy(follows.desc(), "lo", "file_number").limit(1)
+
+
+def compaction_plan(files: DataFrame, level: int, pointer, budget_bytes: int, grandparent_bytes: int) -> DataFrame:
+    """(file_number, role, bottommost, trivial_move) of the next compaction of a sorted level; no rows where the level is empty.
+
+    The input is next_input() and its overlaps are those of the level below. Where the span of both holds more inputs, they come along
+    if all fit into the budget and touch no further overlap. Grandparents lie two levels down. bottommost: nothing deeper than the output
+    meets the span, so tombstones can go. trivial_move: a lone input can change its level unwritten, as it overlaps nothing, no tombstone
+    would be stuck at the bottom, and the grandparents' bytes stay below a limit. Rows are a store's files; the driver sees four numbers a step."""
+    f = _spans(files)
+    meets = lambda span: (F.col("lo") <= F.lit(span[1])) & (F.col("hi") >= F.lit(span[0]))
+    below = lambda n, span: f.filter((F.col("level") == level + n) & meets(span))
+    size = lambda rows: rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("file_bytes"), F.lit(0)).alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    around = lambda span, s: (min(span[0], s.lo), max(span[1], s.hi))
+    seed = next_input(files, level, pointer).first()
+    if seed is None:
+        return f.select("file_number", F.lit("input").alias("role"), F.lit(True).alias("bottommost"), F.lit(False).alias("trivial_move")).limit(0)
+    span, grown = (seed.lo, seed.hi), False
+    overlaps = below(1, span)
+    beneath = size(overlaps)
+    if beneath.n:
+        wide = around(span, beneath)
+        more = size(below(0, wide))
+        wider = around(wide, more)
+        grown = more.n > 1 and more.bytes + beneath.bytes <= budget_bytes and size(below(1, wider)).n == beneath.n
+    inputs = below(0, wide) if grown else f.filter((F.col("level") == level) & (F.col("file_number") == seed.file_number))
+    span = wider if grown else span
+    grandparents = below(2, span)
+    bottommost = f.filter((F.col("level") > level + 1) & meets(span)).isEmpty()
+    stuck = bottommost and bool(seed.num_tombstones or seed.num_range_tombstones)
+    trivial = not grown and not beneath.n and not stuck and size(grandparents).bytes < grandparent_bytes
+    role = lambda rows, name: rows.select("file_number", F.lit(name).alias("role"))
+    plan = role(inputs, "input").unionByName(role(overlaps, "overlap")).unionByName(role(grandparents, "grandparent"))
+    return plan.withColumns({"bottommost": F.lit(bottommost), "trivial_move": F.lit(trivial)})
+
+
 def manifest_replay(edits: DataFrame) -> DataFrame:
     """edits (seq, file_number, action) -> live files: those of the contiguous run of seqs from 1, the last action deciding.
 

@@ -13,7 +13,7 @@ from ..operators import layout as L
 from ..operators import log as M
 from ..operators import replay as R
 from ..operators import temporal as S
-from ..sources.tables import StateTable, shared_dir, table
+from ..sources.tables import StateTable, saved, shared_dir, table
 from ..streaming import topologies as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,6 +360,46 @@ def compaction_inputs(spark, d):
     return L.compaction_inputs(files(spark, d).filter("level = 0")).select("file_number")
 
 
+WIDTH = "CASE seq % 3 WHEN 0 THEN 4 WHEN 1 THEN 16 ELSE 8 END"
+TREE = f"""{LOG}, tree AS (SELECT 1 + seq % 3 AS level, (1 + seq % 3) * 100000 + key // ({WIDTH}) AS file_number, min(key) AS smallest_key, max(key) AS largest_key, count(*) * 16 AS file_bytes,
+ count(*) FILTER (op = 'delete') AS num_tombstones, count(*) FILTER (event_type = 'signup' AND value > 99) AS num_range_tombstones, min(key) FILTER (event_type = 'signup' AND value > 99) AS smallest_range_key, max(key + seq % 3) FILTER (event_type = 'signup' AND value > 99) AS largest_range_key
+ FROM log WHERE seq % 3 <> 1 OR key >= 30 GROUP BY 1, 2)"""
+
+
+def tree_files(spark, d):
+    """The log as the sorted levels of a store: files of 4, 16 and 8 keys; the second level has no keys below 30."""
+    rows = log(spark, d).filter("seq % 3 <> 1 OR key >= 30").withColumns({"level": F.expr("1 + seq % 3"), "file_number": F.expr(f"(1 + seq % 3) * 100000 + key div ({WIDTH})")})
+    cut = F.when((F.col("event_type") == "signup") & (F.col("value") > 99), F.col("key"))
+    f = rows.groupBy("level", "file_number").agg(
+        F.min("key").alias("smallest_key"), F.max("key").alias("largest_key"), (F.count("*") * 16).alias("file_bytes"), F.count_if(F.col("op") == "delete").alias("num_tombstones"),
+        F.count(cut).alias("num_range_tombstones"), F.min(cut).alias("smallest_range_key"), F.max(cut + F.col("seq") % 3).alias("largest_range_key"))
+    return saved(f, "files")
+
+
+def _plan(name, pointer, budget, limit):
+    meets = lambda a, b: f"{a}.lo <= {b}.hi AND {a}.hi >= {b}.lo"
+    sql = f"""WITH {TREE}, f AS (SELECT *, least(smallest_key, smallest_range_key) AS lo, greatest(largest_key, largest_range_key) AS hi FROM tree),
+ seed AS (SELECT * FROM f WHERE level = 1 ORDER BY largest_key > {pointer} DESC, lo, file_number LIMIT 1),
+ o AS (SELECT f.* FROM f, seed WHERE f.level = 2 AND {meets('f', 'seed')}),
+ wide AS (SELECT least(lo, (SELECT min(lo) FROM o)) AS lo, greatest(hi, (SELECT max(hi) FROM o)) AS hi FROM seed),
+ more AS (SELECT f.* FROM f, wide WHERE f.level = 1 AND {meets('f', 'wide')}),
+ wider AS (SELECT least(lo, (SELECT min(lo) FROM more)) AS lo, greatest(hi, (SELECT max(hi) FROM more)) AS hi FROM wide),
+ ok AS (SELECT (SELECT count(*) FROM o) > 0 AND (SELECT count(*) FROM more) > 1 AND (SELECT sum(file_bytes) FROM more) + (SELECT sum(file_bytes) FROM o) <= {budget} AND (SELECT count(*) FROM f, wider WHERE f.level = 2 AND {meets('f', 'wider')}) = (SELECT count(*) FROM o) AS grown),
+ i AS (SELECT more.* FROM more, ok WHERE grown UNION ALL SELECT seed.* FROM seed, ok WHERE NOT grown),
+ span AS (SELECT CASE WHEN grown THEN wider.lo ELSE seed.lo END AS lo, CASE WHEN grown THEN wider.hi ELSE seed.hi END AS hi FROM ok, wider, seed),
+ g AS (SELECT f.* FROM f, span WHERE f.level = 3 AND {meets('f', 'span')}),
+ flags AS (SELECT NOT EXISTS (FROM g) AS bottommost),
+ move AS (SELECT bottommost, (SELECT count(*) FROM i) = 1 AND NOT EXISTS (FROM o) AND (NOT bottommost OR (SELECT num_tombstones + num_range_tombstones FROM seed) = 0) AND coalesce((SELECT sum(file_bytes) FROM g), 0) < {limit} AS trivial_move FROM flags)
+ SELECT file_number, role, bottommost, trivial_move FROM move, (SELECT file_number, 'input' AS role FROM i UNION ALL SELECT file_number, 'overlap' FROM o UNION ALL SELECT file_number, 'grandparent' FROM g)"""
+    query(name, sql)(lambda s, d: L.compaction_plan(tree_files(s, d), 1, pointer, budget, limit))
+
+
+_plan("compaction_plan", 40, 10**9, 10**9)  # M2 M3: more inputs come along where they touch no further overlap
+_plan("compaction_plan_budget", 40, 1000, 10**9)  # M3: no room for more
+_plan("compaction_plan_touching", 60, 10**9, 10**9)  # M3: more inputs would touch a further overlap
+_plan("compaction_plan_wraps", 10**9, 10**9, 10**9)  # M2 M3: past the last file, the first one; it may move
+
+
 @query("tombstone_gc", f"WITH {LOG} SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND op = 'put' AND key >= 20")  # M4 W13
 def tombstone_gc(spark, d):
     """What a compaction into the last level writes above a floor of 20: no tombstones, nothing shadowed."""

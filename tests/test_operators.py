@@ -220,3 +220,28 @@ def test_store_layout(spark):
     assert {r.file_number for r in layout.trim_to_budget(files.filter("store = 0"), 100).collect()} == {1}
     assert {r.file_number for r in layout.trim_to_budget(files.filter("store = 1"), 30).collect()} == {3}
     assert {r.file_number for r in layout.surviving_stores(files, files.filter("file_number <> 2")).collect()} == {3, 4}
+
+
+def test_compaction_plan(spark):
+    """By hand. Level 1: 1 [0, 3], 2 [4, 7], 3 [8, 11]; level 2: 11 [5, 10]; level 3: 21 [0, 20]."""
+    span = lambda level, lo, hi, **more: {"level": level, "smallest_key": lo, "largest_key": hi} | more
+    tree = {"f1": span(1, 0, 3), "f2": span(1, 4, 7), "f3": span(1, 8, 11), "f11": span(2, 5, 10), "f21": span(3, 0, 20, file_bytes=500)}
+
+    def plan(pointer, budget=10**9, limit=10**9, **change):
+        rows = layout.compaction_plan(store(spark, **(tree | change)), 1, pointer, budget, limit).collect()
+        flags = {(r.bottommost, r.trivial_move) for r in rows}
+        return sorted((r.role, r.file_number) for r in rows), flags.pop() if flags else None
+
+    alone, both = [("grandparent", 21), ("input", 1)], [("grandparent", 21), ("input", 2), ("input", 3), ("overlap", 11)]
+    assert plan(None) == (alone, (False, True)) and plan(11) == (alone, (False, True))  # past the last file, the first again
+    assert plan(None, limit=500)[1] == (False, False)
+    assert plan(3) == (both, (False, False)) and plan(4) == plan(3)
+    assert plan(3, budget=30)[0] == both and plan(3, budget=29)[0] == [x for x in both if x != ("input", 3)]
+    touching = plan(3, f12=span(2, 11, 15))[0]  # file 3 would bring in 12
+    assert ("input", 3) not in touching and ("overlap", 12) not in touching
+    bottom = {"f21": span(3, 15, 20)}
+    assert plan(None, **bottom) == ([("input", 1)], (True, True))
+    assert plan(None, f1=span(1, 0, 3, num_tombstones=1), **bottom)[1] == (True, False)
+    reach = plan(None, f1=span(1, 0, 3, num_range_tombstones=1, smallest_range_key=0, largest_range_key=5))[0]
+    assert ("overlap", 11) in reach  # range tombstones count to the span
+    assert layout.compaction_plan(store(spark, **tree), 7, None, 1, 1).count() == 0
