@@ -33,10 +33,13 @@ def level_to_compact(scores: DataFrame) -> DataFrame:
     return scores.filter("score > 1").orderBy(F.desc("score"), "level").limit(1)
 
 
-def placement(files: DataFrame, tiers: DataFrame, now_us) -> DataFrame:
-    """The first tier whose greatest age the file's oldest write hasn't passed; null max_age_us is no limit, a write ahead of now is new."""
+def placement(files: DataFrame, tiers: DataFrame, now_us, jitter_percent: int = 0) -> DataFrame:
+    """The first tier whose greatest age the file's oldest write hasn't passed; null max_age_us is no limit, a write ahead of now is new.
+
+    With jitter each file's limits are shorter by up to that share, always the same for a file, so that files written together don't move together."""
     age = F.greatest(F.lit(now_us) - F.col("min_write_us"), F.lit(0))
-    fit = files.join(F.broadcast(tiers.select("tier", "max_age_us")), F.col("max_age_us").isNull() | (age <= F.col("max_age_us")))  # a row per tier: a few
+    part = F.pmod(F.col("file_number") * 2654435761, F.lit(1 << 32)) / (1 << 32) * (jitter_percent / 100)
+    fit = files.join(F.broadcast(tiers.select("tier", "max_age_us")), F.col("max_age_us").isNull() | (age <= F.col("max_age_us") * (1 - part)))  # a row per tier: a few
     return fit.groupBy("file_number").agg(F.min(fit["tier"]).alias("tier"))
 
 

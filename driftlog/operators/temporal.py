@@ -32,6 +32,14 @@ def live_segments(rows: DataFrame, retention_s: int, segment_s: int, ts="ts", by
     return kept.drop("top")
 
 
+def faulty_windows(stores: DataFrame) -> DataFrame:
+    """stores (name, retention_ms, window_ms, segment_ms) -> (name, fault): times that aren't positive, and windows wider than the retention,
+    which could never be read whole. A null segment stands for half the retention, a minute at least."""
+    segment = F.coalesce("segment_ms", F.greatest(F.expr("retention_ms div 2"), F.lit(60_000)))
+    fault = F.when(~F.coalesce(F.col("retention_ms") > 0, F.lit(False)), "retention").when(~F.coalesce(F.col("window_ms") > 0, F.lit(False)), "window").when(segment < 1, "segment").when(F.col("window_ms") > F.col("retention_ms"), "too wide")
+    return stores.select("name", fault.alias("fault")).filter("fault IS NOT NULL")
+
+
 def fetch(store: DataFrame, key="key", start=None, end=None, lower=None, upper=None, ts="ts") -> DataFrame:
     """Rows with lower <= key <= upper and start <= ts <= end; all bounds inclusive, None unbounded."""
     cond = F.lit(True)

@@ -540,6 +540,23 @@ def tier_stats(spark, d):
     return L.tier_stats(files(spark, d), spark.createDataFrame(TIERS, "tier int, max_age_us long"), NOW)
 
 
+JITTERED = "1 - ((file_number * 2654435761) % 4294967296) / 4294967296.0::DOUBLE * 0.2"
+
+
+@query("tier_placement_jitter", f"WITH {FILES} SELECT file_number, CASE WHEN {NOW} - min_write_us <= 86400000000 * ({JITTERED}) THEN 0 WHEN {NOW} - min_write_us <= 864000000000 * ({JITTERED}) THEN 1 ELSE 2 END AS tier FROM files")  # M5: limits shorter by up to a fifth
+def tier_placement_jitter(spark, d):
+    return L.placement(files(spark, d), spark.createDataFrame(TIERS, "tier int, max_age_us long"), NOW, jitter_percent=20)
+
+
+WINDOWS = [("a", 100, 10, None), ("b", 0, 10, None), ("c", 100, 0, 5), ("d", 100, 101, None), ("e", 100, 100, 0), ("f", 100, 100, 1), ("g", None, 1, 1)]
+
+
+@query("faulty_windows", f"""SELECT * FROM (SELECT name, CASE WHEN NOT coalesce(r > 0, false) THEN 'retention' WHEN NOT coalesce(w > 0, false) THEN 'window' WHEN coalesce(s, greatest(r // 2, 60000)) < 1 THEN 'segment' WHEN w > r THEN 'too wide' END AS fault
+ FROM (VALUES {', '.join(str(x).replace('None', 'NULL') for x in WINDOWS)}) t(name, r, w, s)) WHERE fault IS NOT NULL""")  # WS14
+def faulty_windows(spark, d):
+    return S.faulty_windows(spark.createDataFrame(WINDOWS, "name string, retention_ms long, window_ms long, segment_ms long"))
+
+
 BAD_TIERS = [(0, 10), (1, 20), (2, 20), (3, None), (4, 50)]
 
 

@@ -245,3 +245,18 @@ def test_compaction_plan(spark):
     reach = plan(None, f1=span(1, 0, 3, num_range_tombstones=1, smallest_range_key=0, largest_range_key=5))[0]
     assert ("overlap", 11) in reach  # range tombstones count to the span
     assert layout.compaction_plan(store(spark, **tree), 7, None, 1, 1).count() == 0
+
+
+def test_jitter_only_shortens(spark):
+    tiers = spark.createDataFrame([(0, 100), (1, None)], "tier int, max_age_us long")
+    f = store(spark, **{f"f{n}": {"min_write_us": 1000 - 90} for n in range(1, 41)}, f90={"min_write_us": 1000 - 79}, f91={"min_write_us": 1000 - 101})
+    placed = lambda **more: {r.file_number: r.tier for r in layout.placement(f, tiers, 1000, **more).collect()}
+    assert {n for n, t in placed().items() if t} == {91}
+    late = placed(jitter_percent=20)
+    assert late == placed(jitter_percent=20) and late[90] == 0 and late[91] == 1 and 5 < sum(late.values()) < 36
+
+
+def test_window_stores_that_cannot_be(spark):
+    rows = [("ok", 100, 100, None), ("wide", 100, 101, None), ("none", 0, 1, None), ("cut", 100, 1, 0)]
+    got = temporal.faulty_windows(spark.createDataFrame(rows, "name string, retention_ms long, window_ms long, segment_ms long"))
+    assert sorted(map(tuple, got.collect())) == [("cut", "segment"), ("none", "retention"), ("wide", "too wide")]
