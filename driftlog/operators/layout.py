@@ -85,8 +85,8 @@ def backpressure(files: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def trim_to_budget(inputs: DataFrame, budget_bytes: int) -> DataFrame:
-    """The oldest inputs of a compaction that fit into a budget together; the first one always goes. One row a file of one level."""
-    w = Window.orderBy("max_write_us", "file_number").rowsBetween(Window.unboundedPreceding, 0)
+    """The oldest inputs of a compaction, by file number, that fit into a budget together; the first one always goes. One row a file of one level."""
+    w = Window.orderBy("file_number").rowsBetween(Window.unboundedPreceding, 0)
     rows = inputs.withColumns({"run": F.sum("file_bytes").over(w), "n": F.row_number().over(w)})
     return rows.filter((F.col("run") <= budget_bytes) | (F.col("n") == 1)).drop("run", "n")
 
@@ -144,8 +144,8 @@ def recovery_watermark(files: DataFrame) -> DataFrame:
 
 
 def compaction_inputs(files: DataFrame) -> DataFrame:
-    """The oldest file and all that it overlaps, directly or through others: the key span grows until no more files meet it."""
-    first = files.orderBy("max_write_us", "file_number").limit(1).select("smallest_key", "largest_key").first()
+    """The oldest file, the one of lowest number, and all that it overlaps, directly or through others: the key span grows until no more files meet it."""
+    first = files.orderBy("file_number").limit(1).select("smallest_key", "largest_key").first()
     if first is None:
         return files
     lo, hi = first

@@ -353,7 +353,7 @@ def compaction_overlap(spark, d):
     return pairs.join(f.select(F.col("file_number").alias("other_number"), F.col("file_bytes").alias("b")), "other_number").groupBy("file_number").agg(F.count("*").alias("overlapped"), F.sum("b").alias("bytes"))
 
 
-@query("compaction_inputs", f"""WITH RECURSIVE {FILES}, z AS (SELECT * FROM files WHERE level = 0), g AS (SELECT * FROM (SELECT smallest_key AS lo, largest_key AS hi FROM z ORDER BY max_write_us, file_number LIMIT 1)
+@query("compaction_inputs", f"""WITH RECURSIVE {FILES}, z AS (SELECT * FROM files WHERE level = 0), g AS (SELECT * FROM (SELECT smallest_key AS lo, largest_key AS hi FROM z ORDER BY file_number LIMIT 1)
  UNION SELECT least(lo, smallest_key), greatest(hi, largest_key) FROM g JOIN z ON smallest_key <= hi AND largest_key >= lo)
  SELECT file_number FROM z, (SELECT min(lo) AS lo, max(hi) AS hi FROM g) WHERE smallest_key <= hi AND largest_key >= lo""")  # M2
 def compaction_inputs(spark, d):
@@ -573,7 +573,7 @@ def backpressure(spark, d):
     return L.backpressure(files(spark, d), spark.createDataFrame(PRESSURE, "level long, slowdown long, stop long"))
 
 
-@query("compaction_budget", f"WITH {FILES}, r AS (SELECT file_number, row_number() OVER w AS n, sum(file_bytes) OVER w AS run FROM files WHERE level = 0 WINDOW w AS (ORDER BY max_write_us, file_number ROWS UNBOUNDED PRECEDING)) SELECT file_number FROM r WHERE run <= 8000 OR n = 1")  # M2
+@query("compaction_budget", f"WITH {FILES}, r AS (SELECT file_number, row_number() OVER w AS n, sum(file_bytes) OVER w AS run FROM files WHERE level = 0 WINDOW w AS (ORDER BY file_number ROWS UNBOUNDED PRECEDING)) SELECT file_number FROM r WHERE run <= 8000 OR n = 1")  # M2
 def compaction_budget(spark, d):
     return L.trim_to_budget(files(spark, d).filter("level = 0"), 8000).select("file_number")
 

@@ -260,3 +260,10 @@ def test_window_stores_that_cannot_be(spark):
     rows = [("ok", 100, 100, None), ("wide", 100, 101, None), ("none", 0, 1, None), ("cut", 100, 1, 0)]
     got = temporal.faulty_windows(spark.createDataFrame(rows, "name string, retention_ms long, window_ms long, segment_ms long"))
     assert sorted(map(tuple, got.collect())) == [("cut", "segment"), ("none", "retention"), ("wide", "too wide")]
+
+
+def test_compaction_ages_by_file_number(spark):
+    f = store(spark, f1={"max_write_us": 900, "largest_key": 4}, f2={"max_write_us": 100, "smallest_key": 4}, f3={"smallest_key": 50, "largest_key": 60})
+    numbers = lambda df: {r.file_number for r in df.collect()}
+    assert numbers(layout.trim_to_budget(f, 10)) == {1} and numbers(layout.trim_to_budget(f, 20)) == {1, 2}
+    assert numbers(layout.compaction_inputs(f)) == {1, 2} and numbers(layout.compaction_inputs(f.filter("file_number > 2"))) == {3}
