@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -148,6 +149,13 @@ class ByteBounded(dict):
         super().__init__()
         self.most, self.held, self.before = most // 2, 0, {}
 
+    def limit(self, most: int) -> None:
+        """Keep `most` bytes from now on. Less than before: start anew."""
+        if most // 2 < self.most:
+            self.clear()
+            self.held, self.before = 0, {}
+        self.most = most // 2
+
     def older(self, key: str) -> bytes | None:
         found = self.before.pop(key, None)
         return None if found is None else self.put(key, found)
@@ -157,6 +165,7 @@ class ByteBounded(dict):
         if size > self.most // 64:  # odd giants would push all others out
             return value
         if self.held + size > self.most:
+            self.before = {}  # first, so that three generations never stand at once
             self.before = dict(self)
             self.clear()
             self.held = 0
@@ -165,6 +174,13 @@ class ByteBounded(dict):
         return value
 
 
+def give_back() -> None:
+    """Return to the system what a worker's allocators hold but no object uses; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of a text column, a row at least."""
     import pyarrow.compute as pc

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteBounded, slices
+from .common import ByteBounded, give_back, slices
 
 SPACE_MARK = "▁"
 LETTERS = r"[^\W\d_]"
-#: Bytes of chunks with their ids that a worker keeps, and how many neighbour checks (some 200 bytes each).
+#: Bytes of chunks with their ids that a worker keeps, and how many neighbour checks (some 170 bytes each, as they share the vocabulary's strings).
 KEPT_BYTES, KEPT_CHECKS = 288 << 20, 250_000
+#: Bytes of text that a worker holds as Python objects at a time.
+SLICE = 1 << 20
 #: What a normaliser that changes nothing leaves as it is: ligatures, wide letters, marks that combine, runs and ends of blanks, controls.
 PROBES = ("a", "ﬁ①ｱＡ", "e\u0301é", " a  b ", "\ta\nb\r", "\u00a0\u3000\u200b", "İßΣς", "\x01\x7f", "漢字🙂")
 
@@ -40,6 +42,7 @@ class Codec:
         ids = [i for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.ids = {lib.id_to_piece(i): i for i in ids}
         self.score = {lib.id_to_piece(i): lib.get_score(i) for i in ids}
+        self.name = {p: p for p in self.ids}
         if any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids):
             raise ValueError("a piece goes over a word's end")
         if any(lib.normalize(t) != SPACE_MARK + t.replace(" ", SPACE_MARK) for t in PROBES):
@@ -110,13 +113,13 @@ class Codec:
         if found is None:
             if len(self.fits) > KEPT_CHECKS:
                 self.fits.clear()
-            found = self.fits[a, b] = self.merge(a + b) == [a, b]
+            found = self.fits[self.name.get(a, a), self.name.get(b, b)] = self.merge(a + b) == [a, b]
         return found
 
     def reachable(self, a: str) -> bool:
         found = self.whole.get(a)
         if found is None:
-            found = self.whole[a] = self.merge(a) == [a]
+            found = self.whole[self.name.get(a, a)] = self.merge(a) == [a]
         return found
 
     def pieces(self, chunk: str) -> list[str]:
@@ -189,20 +192,28 @@ def worker_codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def encode_and_decode(docs: DataFrame, model_file: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def encode_and_decode(docs: DataFrame, model_file: str, text_col: str = "text", id_col: str = "doc_id", kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """One row per input row: doc_id, ids (array of int, the end id last), decoded (the text that decode(ids) gives).
 
     A null text counts as empty: its ids are the end id alone, its decoded text is empty. Rows that repeat and null ids
-    are kept; an empty table gives an empty result. Other columns are ignored. model_file must be readable on every executor."""
+    are kept; an empty table gives an empty result. Other columns are ignored. model_file must be readable on every executor. kept_bytes
+    bounds the chunks that a worker keeps: with less it encodes more of them again."""
+
+    def coded(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+        end = np.array([codec.end], "<i4")
+        ids = [np.concatenate([codec.encode(t), end]) for t in part.column(1).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        decoded = [codec.decode(x.tolist()) for x in ids]
+        return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
     def run(batches):
+        give_back()  # the worker may have served other operators
         codec = worker_codec(model_file)
-        end = np.array([codec.end], "<i4")
+        codec.known.limit(kept_bytes)
         for b in batches:
-            for part in slices(b, 1, 4 << 20):
-                ids = [np.concatenate([codec.encode(t), end]) for t in part.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                decoded = [codec.decode(x.tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            for part in slices(b, 1, SLICE):
+                yield coded(codec, part)
+                give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

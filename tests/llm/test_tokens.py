@@ -41,6 +41,40 @@ def test_encode_and_decode(spark, texts):
     assert encode_and_decode(docs(spark, []), PIECES).count() == 0
 
 
+def held_by_workers(spark):
+    """For each codec of the Python workers that served last: bytes its chunks may take, bytes they take."""
+
+    def probe(batches):
+        import gc
+        import sys
+
+        import pyarrow as pa
+
+        list(batches)
+        size = lambda d: sys.getsizeof(d) + sum(map(sys.getsizeof, d)) + sum(map(sys.getsizeof, d.values()))
+        found = [(2 * x.known.most, size(x.known) + size(x.known.before)) for x in gc.get_objects() if type(x).__name__ == "Codec"]
+        yield pa.RecordBatch.from_pylist([{"most": m, "held": h} for m, h in found], pa.schema([("most", pa.int64()), ("held", pa.int64())]))
+
+    return [tuple(r) for r in spark.range(0, 8, 1, 4).mapInArrow(probe, "most long, held long").collect()]
+
+
+def test_kept_bytes(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choices("abcdeghilmnorstu", k=9)) for _ in range(300))) for i in range(80)]
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r.doc_id: r.ids for r in encode_and_decode(docs(spark, rows), PIECES, kept_bytes=1 << 20).collect()}
+    assert got == {i: lib.encode(t) + [2] for i, t in rows}
+    held = [h for m, h in held_by_workers(spark) if m == 1 << 20]
+    assert held and max(held) < 3 << 19
+
+
+def test_neighbour_checks_share_the_vocabulary(texts):
+    codec = Codec(PIECES)
+    for t in texts:
+        codec.encode(t)
+    assert codec.fits and all(codec.name[p] is p for pair in codec.fits for p in pair if p in codec.name)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_shard_round_trip(bits):
     rng = np.random.default_rng(1)
