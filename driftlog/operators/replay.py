@@ -47,8 +47,8 @@ def going_back(log: DataFrame, by="part", offset="seq", arrival="arrival") -> Da
 
 
 def refused_watermarks(marks: DataFrame, by="part", seq="seq", mark="mark") -> DataFrame:
-    """Watermarks below one that was set before: those are refused."""
-    return running(marks, [by], [seq], F.col(mark), "highest").filter(F.col(mark) < F.col("highest"))
+    """Watermarks below one that was set before: those are refused. Of marks with the same seq the lower ones come first."""
+    return running(marks, [by], [seq, mark], F.col(mark), "highest").filter(F.col(mark) < F.col("highest"))
 
 
 #: What a failed commit leaves. Anything else is not known to have failed.

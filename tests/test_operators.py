@@ -82,6 +82,14 @@ def test_running_values_over_partitions(spark, parts):
     assert back == want
 
 
+def test_marks_that_arrive_together(spark):
+    """Whatever order the rows are read in, of marks with the same seq the lower one comes first, so neither refuses the other."""
+    rows = [(0, 1, 5), (0, 2, 9), (0, 2, 7), (0, 2, 4), (0, 3, 8), (1, 2, 1)]
+    for given in (rows, rows[::-1]):
+        refused = replay.refused_watermarks(spark.createDataFrame(given, "part long, seq long, mark long").coalesce(1))
+        assert sorted((r.part, r.seq, r.mark) for r in refused.collect()) == [(0, 2, 4), (0, 3, 8)]
+
+
 FILE = "level long, file_number long, smallest_key long, largest_key long, num_entries long, num_tombstones long, num_range_tombstones long, smallest_range_key long, largest_range_key long, min_write_us long, max_write_us long, file_bytes long, place long"
 
 
