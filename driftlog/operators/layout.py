@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
 
-def overlaps(files: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (file_number, other_number) of other files whose key spans meet. Spans are metadata rows: thousands, not data."""
-    o = others.select(F.col("file_number").alias("other_number"), F.col("level").alias("other_level"), F.col("smallest_key").alias("o_lo"), F.col("largest_key").alias("o_hi"), F.col("max_write_us").alias("o_max_write"))
-    meet = (F.col("smallest_key") <= F.col("o_hi")) & (F.col("o_lo") <= F.col("largest_key")) & (F.col("file_number") != F.col("other_number"))
-    return files.join(o, meet)
+
+def overlapped(files: DataFrame, depth: int = 1) -> DataFrame:
+    """(file_number, overlapped, bytes) of files whose key spans meet files `depth` levels deeper: how many, and their bytes.
+
+    No pairs are made: of the deeper level's files, those that begin up to a file's end meet it unless they end before its start, and
+    running sums in key order count both. A file gives four rows, and those of one key spread over tasks by file number."""
+    row = lambda level, key, edge, side, n, size: F.struct(level.alias("at"), key.alias("pos"), F.lit(edge).alias("edge"), F.lit(side).alias("side"), F.lit(n).alias("one"), size.alias("size"))
+    level, lo, hi, size = F.col("level"), F.col("smallest_key"), F.col("largest_key"), F.col("file_bytes")
+    rows = files.filter("level IS NOT NULL AND smallest_key IS NOT NULL AND largest_key IS NOT NULL").select("file_number", F.explode(F.array(
+        row(level, lo, 1, 1, 1, size), row(level + depth, hi, 1, 2, 0, size * 0),  # starts, and who asks for those up to its end
+        row(level, hi, -1, 1, 1, size), row(level + depth, lo, -1, 0, 0, size * 0),  # ends, and who asks for those before its start
+    )).alias("r")).select("file_number", "r.*")
+    sums = running(rows, ["at", "edge"], ["pos", "side", "file_number"], [F.col("one"), F.col("size")], ["n", "total"], how="sum")
+    found = sums.filter("side <> 1").groupBy("file_number").agg(F.sum(F.col("edge") * F.col("n")).alias("overlapped"), F.sum(F.col("edge") * F.col("total")).alias("bytes"))
+    return found.filter("overlapped > 0")
 
 
 def level_stats(files: DataFrame) -> DataFrame:
@@ -97,17 +108,31 @@ def surviving_stores(files: DataFrame, listing: DataFrame, store="store") -> Dat
     return files.join(lost, store, "left_anti")
 
 
-def _older(level: str, number: str, than_level: str, than_number: str):
-    """Recency is by place: a deeper level is older, and so is a lower file number of the same level."""
-    return (F.col(level) > F.col(than_level)) | ((F.col(level) == F.col(than_level)) & (F.col(number) < F.col(than_number)))
+def _reach(files: DataFrame, asked, given, pos, start, ends: dict, older: bool) -> DataFrame:
+    """Rows of asked files, several a file, with the furthest of each of `ends` among the given files that begin up to `pos` and are older than the
+    file, or newer if not `older`; null where a row finds none. A file's furthest is the greatest over its rows.
+
+    Recency is by place: a deeper level is older, and so is a lower file number of the same level. No pairs are made. Files are ranked by age; for each bit of the ranks, the files whose ranks agree above that bit are a block, and its
+    older half meets its newer one. Any two files are in different halves of one block, once. In a block a running maximum in key order answers
+    all that ask, so n files give n rows a bit, and no block need fit one task."""
+    known = files.filter("level IS NOT NULL AND file_number IS NOT NULL").select("*", F.lit(0).alias("one"), (-F.col("file_number")).alias("late"))
+    ranked = running(known, ["one"], ["level", "late"], F.lit(1), "rank", how="sum").withColumn("rank", F.col("rank") - 1)
+    bits = int(ranked.agg(F.max("rank")).first()[0] or 0).bit_length()
+    rows = ranked.withColumn("bit", F.explode(F.sequence(F.lit(1), F.lit(bits)))) if bits else ranked.withColumn("bit", F.lit(1)).limit(0)
+    rows = rows.withColumns({"block": F.expr("shiftright(rank, bit)"), "asks": (F.expr("shiftright(rank, bit - 1)") % 2 == (0 if older else 1))})
+    rows = rows.filter(F.when(F.col("asks"), asked).otherwise(given & start.isNotNull()))
+    rows = rows.withColumns({"pos": F.when(F.col("asks"), pos).otherwise(start), "side": F.col("asks").cast("int")})
+    found = running(rows, ["bit", "block"], ["pos", "side", "rank"], [F.when(~F.col("asks"), e) for e in ends.values()], list(ends), how="max")
+    return found.filter("asks").select(*files.columns, *ends)
 
 
 def expired(files: DataFrame, cutoff_us) -> DataFrame:
     """Files wholly past their time, without range tombstones and without an overlapping older file that they would uncover. A file whose
     newest write isn't known (0 or null) never expires."""
-    old = files.filter((F.col("max_write_us") > 0) & (F.col("max_write_us") <= F.lit(cutoff_us)) & (F.col("num_range_tombstones") == 0))
-    hides = overlaps(old, files).filter(_older("other_level", "other_number", "level", "file_number")).select("file_number").distinct()
-    return old.join(hides, "file_number", "left_anti")
+    past = F.coalesce((F.col("max_write_us") > 0) & (F.col("max_write_us") <= F.lit(cutoff_us)) & (F.col("num_range_tombstones") == 0), F.lit(False))
+    found = _reach(files, past, F.lit(True), F.col("largest_key"), F.col("smallest_key"), {"reach": F.col("largest_key")}, older=True)
+    hides = found.filter(F.col("reach") >= F.col("smallest_key")).select("file_number").distinct()
+    return files.filter(past).join(hides, "file_number", "left_anti")
 
 
 def truncated(files: DataFrame, floor) -> DataFrame:
@@ -118,10 +143,11 @@ def truncated(files: DataFrame, floor) -> DataFrame:
 def range_dropped(files: DataFrame) -> DataFrame:
     """(file_number, exact) of files that a newer file's range tombstones cover as a whole. Files with range tombstones of their own, and
     files without entries, stay. exact: some cover has a single tombstone, so the hull that the manifest knows has no gaps."""
-    covers = files.filter("num_range_tombstones > 0").select(F.col("level").alias("c_level"), F.col("file_number").alias("c_number"), F.col("smallest_range_key").alias("c_lo"), F.col("largest_range_key").alias("c_hi"), (F.col("num_range_tombstones") == 1).alias("single"))
-    own = files.filter("num_range_tombstones = 0 AND num_entries > 0")
-    inside = (F.col("c_lo") <= F.col("smallest_key")) & (F.col("largest_key") < F.col("c_hi"))
-    return own.join(covers, inside & _older("level", "file_number", "c_level", "c_number")).groupBy("file_number").agg(F.bool_or("single").alias("exact"))
+    covers, own = F.coalesce(F.col("num_range_tombstones") > 0, F.lit(False)), F.coalesce((F.col("num_range_tombstones") == 0) & (F.col("num_entries") > 0), F.lit(False))
+    end = F.col("largest_range_key")
+    found = _reach(files, own, covers, F.col("smallest_key"), F.col("smallest_range_key"), {"any": end, "single": F.when(F.col("num_range_tombstones") == 1, end)}, older=False)
+    inside = found.filter(F.col("largest_key") < F.col("any"))
+    return inside.groupBy("file_number").agg(F.bool_or(F.coalesce(F.col("largest_key") < F.col("single"), F.lit(False))).alias("exact"))
 
 
 def orphans(listing: DataFrame, files: DataFrame, now_us, retention_us) -> DataFrame:

@@ -348,9 +348,7 @@ def tier_placement(spark, d):
 
 @query("compaction_overlap", f"WITH {FILES} SELECT a.file_number, count(*) AS overlapped, CAST(sum(b.file_bytes) AS BIGINT) AS bytes FROM files a JOIN files b ON b.level = a.level + 1 AND a.smallest_key <= b.largest_key AND b.smallest_key <= a.largest_key GROUP BY 1")  # M3 M11
 def compaction_overlap(spark, d):
-    f = files(spark, d)
-    pairs = L.overlaps(f, f).filter(F.col("other_level") == F.col("level") + 1)
-    return pairs.join(f.select(F.col("file_number").alias("other_number"), F.col("file_bytes").alias("b")), "other_number").groupBy("file_number").agg(F.count("*").alias("overlapped"), F.sum("b").alias("bytes"))
+    return L.overlapped(files(spark, d))
 
 
 @query("compaction_inputs", f"""WITH RECURSIVE {FILES}, z AS (SELECT * FROM files WHERE level = 0), g AS (SELECT * FROM (SELECT smallest_key AS lo, largest_key AS hi FROM z ORDER BY file_number LIMIT 1)

@@ -7,6 +7,7 @@ from driftlog.functions import keys
 from driftlog.operators import layout, replay, temporal
 from driftlog.operators import log as M
 from driftlog.operators.ordered import running
+from driftlog.plans import registry
 from driftlog.sources.tables import Stale, StateTable
 
 
@@ -114,6 +115,47 @@ def test_golden_file_rules(spark):
     assert layout.level_scores(f, levels, 0.5, 10).first().score == 0.5 and layout.level_scores(f, levels, 0.5).first().score == 2.0
 
 
+@pytest.mark.parametrize("parts", ["1", "3"])
+def test_spans_that_meet_against_all_pairs(spark, parts):
+    rng, rows, before = random.Random(int(parts)), {}, spark.conf.get("spark.sql.shuffle.partitions")
+    for n in rng.sample(range(500), 60):
+        lo, cut = rng.randrange(60), rng.randrange(60)
+        span = {"smallest_key": lo, "largest_key": lo + rng.randrange(12)} if rng.random() < 0.9 else {"smallest_key": None, "largest_key": None}
+        ranges = rng.choice([0, 0, 1, 2])
+        hull = {"smallest_range_key": cut, "largest_range_key": cut + rng.randrange(30)} if ranges else {}
+        rows[f"f{n}"] = {"level": rng.randrange(4), "file_bytes": rng.randrange(100), "max_write_us": rng.randrange(10), "num_range_tombstones": ranges, "num_entries": rng.randrange(4)} | span | hull
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        f = store(spark, **rows)
+        below = {r.file_number: (r.overlapped, r.bytes) for r in layout.overlapped(f).collect()}
+        gone = {r.file_number for r in layout.expired(f, 7).collect()}
+        dropped = {r.file_number: r.exact for r in layout.range_dropped(f).collect()}
+        for n in (0, 1):
+            few = f.limit(n)
+            assert layout.overlapped(few).count() == layout.range_dropped(few).count() == 0 and layout.expired(few, 7).count() <= n
+        all_files = f.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    known = [r for r in all_files if r.smallest_key is not None]
+    meet = lambda a, b: a.smallest_key is not None and a.smallest_key <= b.largest_key and b.smallest_key <= a.largest_key
+    age = lambda r: (r.level, -r.file_number)
+    want = {a.file_number: [b.file_bytes for b in known if b.level == a.level + 1 and meet(a, b)] for a in known}
+    assert below == {k: (len(v), sum(v)) for k, v in want.items() if v} and below
+    old = [a for a in all_files if 0 < a.max_write_us <= 7 and not a.num_range_tombstones]
+    assert gone == {a.file_number for a in old if not any(age(b) > age(a) and meet(a, b) for b in known)} and gone
+    covers = {a.file_number: [c.num_range_tombstones == 1 for c in all_files if c.num_range_tombstones and age(c) < age(a) and c.smallest_range_key <= a.smallest_key and a.largest_key < c.largest_range_key] for a in known if not a.num_range_tombstones and a.num_entries}
+    assert dropped == {k: any(v) for k, v in covers.items() if v} and {True, False} == set(dropped.values())
+
+
+@pytest.mark.parametrize("name", ["compaction_overlap", "ttl_expired_files", "range_drop_files"])
+def test_no_join_compares_spans(spark, name):
+    """A join on a comparison of keys alone, or in a level, tries all pairs of files. Here comparisons stand only with an equal partition, of which a
+    running value has one row."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not [j for j in joins if "driftlog_p" not in j and ("<" in j or ">" in j)]
+
+
 def test_golden_migrations(spark):
     schema = "tier long, max_age_us long, max_bytes long, transient boolean"
     pick = lambda f, t: [tuple(r) for r in layout.pick_migration(f, spark.createDataFrame(t, schema), 1000).collect()]
